@@ -81,5 +81,11 @@ EXAMPLES = (
     ("junk", "scrap", _SCRAP),
     ("junk", "repeated", "P-4410B " * 80),
     ("junk", "repeated", "seal seal " * 50),
+    ("junk", "repeated lines", "P-4410B\n" * 60),
+    ("junk", "repeated lines", "seal\n" * 60),
+    ("junk", "repeated lines", "shaft seal\n" * 50),
+    ("junk", "repeated entries", "P-4410B, " * 60),
+    ("junk", "repeated entries", "shaft seal, " * 50),
+    ("junk", "consonants", " ".join("bcdfghjklmnpqrstvwxz"[(3 * i * i + i) % 20 : (3 * i * i + i) % 20 + 3 + i % 6] + "kzrt"[: i % 4] for i in range(90))),
     ("junk", "after text", _EN[0] + "\n" + _SIGNS),
 )

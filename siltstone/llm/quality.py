@@ -30,12 +30,13 @@ STEPS = 10
 RIDGE = 0.02
 PRIOR = 50.0
 BATCH = 100
+USUAL_VOWELS = 0.38
 #: Frequent function words of English, German, French and Spanish, and frequent Chinese characters.
 COMMON_WORDS = frozenset("the of and a to in is was that for it with as on be at by from had has are were this an no after before not which even will must does until because when if there been their its der die das und ist zu den von mit nicht ein eine im auf dem des bei hat wird nach wenn nur le la les de et est une un du dans pour que qui sur au par pas avec ou il en el los las y se con del por para una al es ha si su fue lo".split())
 COMMON_HAN = "的一是在不了有和人这中大为上个我以要他时来用们到说于由需内即进行发现出根据应每次查"
 
 COUNTS = ("n_chars", "n_words", "n_lines")
-STATS = ("mean_word", "common_share", "symbol_share", "digit_share", "letter_share", "end_share", "running_share", "entry_share", "cell_share", "noise_share", "words_a_line", "words_a_mark", "distinct_share")
+STATS = ("mean_word", "common_share", "symbol_share", "digit_share", "letter_share", "end_share", "running_share", "entry_share", "cell_share", "noise_share", "words_a_line", "words_a_mark", "log_distinct", "vowel_share")
 SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", " + ", ".join(f"{c} double" for c in STATS)
 
 SPACE, NEWLINE, LOWER, UPPER, DIGIT, STOP, COMMA, MARK, BAR, SYMBOL, HAN, ODD, TAB = range(13)
@@ -72,6 +73,11 @@ def _common_han() -> np.ndarray:
     return table
 
 
+@lru_cache(1)
+def _vowels() -> np.ndarray:
+    return np.array([unicodedata.normalize("NFD", chr(c))[0].lower() in "aeiouyæœøαεηιουωаеёиоуыэюя" for c in range(0x10000)])
+
+
 def batch_statistics(texts: list[str | None]) -> pd.DataFrame:
     """The statistics of a batch of texts, in order."""
     clean = [_RULE.sub("", t or "") for t in texts]
@@ -145,7 +151,7 @@ def batch_statistics(texts: list[str | None]) -> pd.DataFrame:
     all_han = a_doc(han)
     parts = [t.lower().split() for t in clean]
     common = np.array([sum(map(COMMON_WORDS.__contains__, p)) for p in parts], float)
-    distinct = np.array([min(1.0, len(set(p)) / max(1, min(len(p), 40))) for p in parts])
+    distinct = np.log([min(1.0, max(1, len(set(p))) / max(1, min(len(p), 40))) for p in parts])
     common += 2 * np.bincount(doc[_common_han()[np.minimum(flat, 0xFFFF)]], minlength=len(clean))
     count = n_words + all_han
     marks = a_doc(commas) + a_doc(stops) + 1
@@ -156,7 +162,8 @@ def batch_statistics(texts: list[str | None]) -> pd.DataFrame:
         "symbol_share": (a_doc(symbols) + a_doc(odd) + a_doc(bars)) / total, "digit_share": a_doc(digits) / total, "letter_share": (letters + all_han) / total,
         "end_share": a_doc(ends) / np.maximum(n_lines, 1), "running_share": a_doc(solid * text) / total, "entry_share": a_doc(solid * entry) / total,
         "cell_share": a_doc(solid * cell) / total, "noise_share": a_doc(solid * noise) / total,
-        "words_a_line": np.log1p(wide / np.maximum(n_lines, 1)), "words_a_mark": np.log1p(wide / marks), "distinct_share": distinct,
+        "words_a_line": np.log1p(wide / np.maximum(n_lines, 1)), "words_a_mark": np.log1p(wide / marks), "log_distinct": distinct,
+        "vowel_share": np.where(letters < 12, USUAL_VOWELS, a_doc(a_line(_vowels()[np.minimum(flat, 0xFFFF)] & letter)) / np.maximum(letters, 1)),
     })
 
 
