@@ -6,11 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .defects import pair_defects, pair_labels
 from .leaks import leaked_items
 from .overlap import split_overlaps
 from .quality import document_kinds
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_defects(table(spark, sf_dir, "prepare_openorca")).select("row_id", "defect")
+
+
+def p2_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every label whose posterior exceeds its cutoff, several for a row where they apply."""
+    return pair_labels(table(spark, sf_dir, "prepare_openorca"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = split_overlaps(table(spark, sf_dir, "split_rows"))
     return pairs.select(F.least("val_row", "train_row").alias("row_id_a"), F.greatest("val_row", "train_row").alias("row_id_b"))
@@ -39,6 +49,8 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_labels": p2_labels,
     "p4_found": p4_found,
     "p4_report": p4_report,
     "p9_found": p9_found,
