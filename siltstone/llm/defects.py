@@ -107,7 +107,8 @@ def _bare(text: str | None) -> list[str]:
 def empty_votes(response: str | None) -> list[int]:
     seen = visible(response)
     bare = visible(_MARKER.sub("", response or ""))
-    return [1 if not seen else -1, 1 if not bare.strip("\"'`*_") or bare.lower().strip("\"'`*_") in PLACEHOLDERS else -1, 1 if not any(map(str.isalnum, bare)) else -1]
+    against = -1 if len(bare) > 16 else 0
+    return [1 if not seen else against, 1 if not bare.strip("\"'`*_") or bare.lower().strip("\"'`*_") in PLACEHOLDERS else -1, 1 if not any(map(str.isalnum, bare)) else against]
 
 
 def copy_votes(question: str | None, response: str | None) -> list[int]:
