@@ -25,8 +25,9 @@ from .text import word_distance, word_hashes, words_of
 
 LENGTHS = (2, 4, 8)
 SIGNATURE_LONGS = 8
-INDEX_BROADCAST_ROWS = 1_500_000
+INDEX_BROADCAST_ROWS = 2_000_000
 FEWEST_WORDS = 5
+BAND = 1.1
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,40 +74,76 @@ def choose(cost: dict[int, np.ndarray], n: int, counts: list[int]) -> dict[int,
     return out
 
 
+def band_of(m):
+    """Band of a text's length: partners of one band have lengths within a factor BAND."""
+    return np.floor(np.log(m) / np.log(BAND) + 1e-9).astype(np.int64)
+
+
+def _key(h: np.ndarray, band) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((h ^ (np.uint64(band) if np.isscalar(band) else band.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)) * MIX).view(np.int64)
+
+
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How often each word and each pair of neighbours occurs in a batch of training texts."""
+    for pdf in batches:
+        n = pdf["words"].map(len).to_numpy()
+        if not len(n):
+            continue
+        one = word_hashes(np.concatenate(pdf["words"].to_numpy()))
+        ends = np.cumsum(n) - 1
+        two = _shingles(one).get(2, np.zeros(0, np.uint64))
+        inside = np.ones(len(two), bool)
+        inside[ends[:-1]] = False
+        for h in (one, two[inside]):
+            h, count = np.unique(h.view(np.int64), return_counts=True)
+            yield pd.DataFrame({"h": h, "n": count})
+
+
+def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The word and the pair of neighbours at each place of the evaluation texts."""
+    for pdf in batches:
+        for key, words in zip(pdf["key"], pdf["words"]):
+            one = word_hashes(words)
+            two = np.append(_shingles(one)[2], np.uint64(0))
+            yield pd.DataFrame({"key": key, "at": np.arange(len(one)), "h": one.view(np.int64), "h2": two.view(np.int64)})
+
+
+def estimated(one: np.ndarray, two: np.ndarray) -> dict[int, np.ndarray]:
+    """Expected occurrences of each shingle, from those of its words and pairs of neighbours (a first-order chain)."""
+    n = len(one)
+    one, two = np.maximum(one, 0.3), np.maximum(two[:-1], 0.3)
+    chain = np.concatenate([[0.0], np.cumsum(np.log(np.minimum(two / one[:-1], 1.0)))])
+    return {k: one[: n - k + 1] * np.exp(chain[k - 1 :] - chain[: n - k + 1]) + 1e-6 for k in LENGTHS if n >= k}
+
+
 def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rare disjoint shingles of evaluation texts, a set for each band of the partner's length."""
     for pdf in batches:
         out = []
-        for key, words, share in zip(pdf["key"], pdf["words"], pdf["share"]):
+        for key, words, one, two in zip(pdf["key"], pdf["words"], pdf["one"], pdf["two"]):
             n = len(words)
-            weight = np.concatenate([[0.0], np.cumsum(np.log(np.maximum(np.asarray(share, float), 1e-9)) / 2)])
-            costs = {k: np.exp(weight[k:] - weight[:-k]) + 1e-7 for k in LENGTHS if n >= k}
-            most = -(-5 * n // 4) - 1
-            edges = sorted({n, min(most, n * 28 // 25), most})
-            need = [allowed(max(n, e)) + 1 for e in edges]
-            chosen, hashes = choose(costs, n, need), _shingles(word_hashes(words))
-            low = n * 4 // 5 + 1
-            for edge, count in zip(edges, need):
-                out += [(int(hashes[k][at].view(np.int64)), k, key, at, n, low, edge) for at, k in chosen[count]]
-                low = edge + 1
-        yield pd.DataFrame(out, columns=["h", "k", "key_a", "at_a", "n", "low", "high"])
+            lowest, highest = n * 4 // 5 + 1, -(-5 * n // 4) - 1
+            lengths = np.arange(lowest, highest + 1)
+            bands = band_of(lengths)
+            ranges = [(int(b), int(lengths[bands == b][0]), int(lengths[bands == b][-1])) for b in np.unique(bands)]
+            need = [allowed(max(n, high)) + 1 for _, _, high in ranges]
+            chosen, hashes = choose(estimated(np.asarray(one, float), np.asarray(two, float)), n, need), _shingles(word_hashes(words))
+            for (band, low, high), count in zip(ranges, need):
+                keys = _key(np.array([hashes[k][at] for at, k in chosen[count]], np.uint64), band)
+                out += [(int(h), key, at, n, low, high) for h, (at, _) in zip(keys, chosen[count])]
+        yield pd.DataFrame(out, columns=["h", "key_a", "at_a", "n", "low", "high"])
 
 
 def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Every shingle of every training text, a batch of texts at once."""
+    """Every shingle of every training text, of all LENGTHS one after another: the place in the array tells which."""
     for pdf in batches:
-        n = pdf["words"].map(len).to_numpy()
-        pdf, n = pdf[n >= FEWEST_WORDS], n[n >= FEWEST_WORDS]
-        if not len(pdf):
-            continue
-        flat = word_hashes(np.concatenate(pdf["words"].to_numpy()))
-        text, start = np.repeat(np.arange(len(n)), n), np.repeat(np.cumsum(n) - n, n)
-        at = np.arange(len(flat)) - start
-        keys = pdf["key"].to_numpy()
-        for k, h in _shingles(flat).items():
-            inside = (at[: len(h)] + k) <= n[text[: len(h)]]
-            where = text[: len(h)][inside]
-            yield pd.DataFrame({"h": h[inside].view(np.int64), "k": np.int32(k), "key_b": keys[where], "at_b": at[: len(h)][inside].astype(np.int32), "m": n[where].astype(np.int32)})
+        out = []
+        for key, words, signature in zip(pdf["key"], pdf["words"], pdf["signature"]):
+            m = len(words)
+            if m >= FEWEST_WORDS:
+                out.append((key, m, signature, _key(np.concatenate(list(_shingles(word_hashes(words)).values())), band_of(m))))
+        yield pd.DataFrame(out, columns=["key_b", "m", "signature_b", "hs"])
 
 
 def _signature(words: pd.Series) -> pd.Series:
@@ -139,28 +176,29 @@ def split_overlaps(rows: DataFrame) -> DataFrame:
     a = texts.filter("side = 'a'").select("key", "text_id", "words", "signature")
     b = texts.filter("side = 'b'").select("key", "text_id", "words", "signature")
 
-    spread = b.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    total = b.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("total"))
-    size = total.first()["total"]
-    in_a = a.filter(F.size("words") >= FEWEST_WORDS).select("key", F.posexplode("words").alias("at", "word"))
-    share = in_a.join(spread, "word", "left").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "word", (F.coalesce("df", F.lit(0)) / size).alias("share")))).alias("w"))
-    share = share.select("key", F.col("w.word").alias("words"), F.col("w.share").alias("share"))
-    index = stage(share.mapInPandas(_index, "h long, k int, key_a long, at_a int, n int, low int, high int"), "index")
-    probes = b.select("key", "words").mapInPandas(_probe, "h long, k int, key_b long, at_b int, m int")
+    pieces = stage(b.select("words").mapInPandas(_pieces, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "pieces")
+    places = a.filter(F.size("words") >= FEWEST_WORDS).select("key", "words").mapInPandas(_places, "key long, at int, h long, h2 long")
+    places = places.join(pieces.withColumnRenamed("n", "one"), "h", "left").join(pieces.select(F.col("h").alias("h2"), F.col("n").alias("two")), "h2", "left")
+    known = places.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("one", F.lit(0)).alias("one"), F.coalesce("two", F.lit(0)).alias("two")))).alias("p"))
+    known = known.select("key", "p.one", "p.two").join(a.select("key", "words"), "key").select("key", "words", "one", "two")
+    index = stage(known.mapInPandas(_index, "h long, key_a long, at_a int, n int, low int, high int"), "index")
+    left = a.select(F.col("key").alias("key_a"), F.col("text_id").alias("id_a"), F.col("signature").alias("signature_a"))
     if index.limit(INDEX_BROADCAST_ROWS + 1).count() <= INDEX_BROADCAST_ROWS:
-        index = F.broadcast(index)
-    shift = F.col("at_b") - F.col("at_a")
+        index, left = F.broadcast(index), F.broadcast(left)
+    probes = b.select("key", "words", "signature").mapInPandas(_probe, "key_b long, m int, signature_b array<bigint>, hs array<bigint>").select("key_b", "m", "signature_b", F.posexplode("hs").alias("place", "h"))
+    at_b, before = F.col("place"), 0
+    for k in LENGTHS[:-1]:  # the shingles of length k take up m - k + 1 places
+        before = before + F.col("m") - k + 1
+        at_b = F.when(F.col("place") >= before, F.col("place") - before).otherwise(at_b)
+    shift = at_b - F.col("at_a")
     most = F.ceil(F.greatest("n", "m") / F.lit(5)) - 1
     near = F.col("m").between(F.col("low"), F.col("high")) & (F.abs(shift) + F.abs(F.col("m") - F.col("n") - shift) <= most)
-    pairs = probes.join(index, ["h", "k"]).filter(near).select("key_a", "key_b", most.cast("int").alias("most")).distinct()
     bits = sum((F.bit_count(F.expr(f"signature_a[{i}] ^ signature_b[{i}]")) for i in range(SIGNATURE_LONGS)), F.lit(0))
-    left = a.select(F.col("key").alias("key_a"), F.col("text_id").alias("id_a"), F.col("signature").alias("signature_a"))
-    right = b.select(F.col("key").alias("key_b"), F.col("text_id").alias("id_b"), F.col("signature").alias("signature_b"))
-    pairs = pairs.join(left, "key_a").join(right, "key_b").filter((bits <= 2 * F.col("most")) & (F.col("id_a") != F.col("id_b"))).select("key_a", "key_b")
+    pairs = probes.join(index, "h").filter(near).join(left, "key_a").filter(bits <= 2 * most).select("key_a", "key_b").distinct()
     pairs = stage(pairs, "pairs")
     pairs = pairs.join(a.select(F.col("key").alias("key_a"), F.col("words").alias("words_a")), "key_a").join(b.select(F.col("key").alias("key_b"), F.col("words").alias("words_b")), "key_b")
     near = pairs.mapInPandas(_verify, "key_a long, key_b long, edits int")
-    near = near.join(a.select(F.col("key").alias("key_a"), F.col("text_id").alias("id_a")), "key_a").join(b.select(F.col("key").alias("key_b"), F.col("text_id").alias("id_b")), "key_b").select("id_a", "id_b", "edits")
+    near = near.filter("edits > 0").join(a.select(F.col("key").alias("key_a"), F.col("text_id").alias("id_a")), "key_a").join(b.select(F.col("key").alias("key_b"), F.col("text_id").alias("id_b")), "key_b").select("id_a", "id_b", "edits")
     same = a.select(F.col("text_id").alias("id_a")).join(b.select(F.col("text_id").alias("id_b")), F.col("id_a") == F.col("id_b")).withColumn("edits", F.lit(0))
     found = near.unionByName(same)
     va = members.filter("side = 'a'").select(F.col("text_id").alias("id_a"), F.col("row_id").alias("val_row"))
