@@ -44,7 +44,7 @@ _RULE = re.compile(r"^[\s|+:=_-]{3,}$", re.M)
 
 
 @lru_cache(1)
-def _classes() -> np.ndarray:
+def classes() -> np.ndarray:
     """The class of each code point of the basic plane; above it only letters and symbols are told apart."""
     table = np.full(0x10000, SYMBOL, np.uint8)
     for c in range(0x10000):
@@ -83,7 +83,7 @@ def batch_statistics(texts: list[str | None]) -> pd.DataFrame:
     clean = [_RULE.sub("", t or "") for t in texts]
     size = np.array([len(t) + 1 for t in clean])
     flat = np.frombuffer("".join(t + "\n" for t in clean).encode("utf-32-le", "surrogatepass"), np.uint32)
-    cls = _classes()[np.minimum(flat, 0xFFFF)]
+    cls = classes()[np.minimum(flat, 0xFFFF)]
     cls[flat > 0xFFFF] = np.where((flat[flat > 0xFFFF] >= 0x20000) & (flat[flat > 0xFFFF] < 0x32000), HAN, SYMBOL)
     doc = np.repeat(np.arange(len(clean)), size)
     before, after = np.concatenate([[NEWLINE], cls[:-1]]), np.concatenate([cls[1:], [NEWLINE]])

@@ -6,10 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .blend import blend, blend_shares
+from .conversations import conversation_defects, conversations, ordered_messages
 from .defects import pair_defects, pair_labels
 from .leaks import leaked_items
 from .overlap import split_overlaps
+from .packing import CAPACITY, pack_documents
 from .quality import document_kinds
+from .splitting import split_chunks
+from .tokens import token_budget
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_chunks(table(spark, sf_dir, "text_chunks")).filter("n_pieces > 1 and piece = 0").select("chunk_id")
+
+
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_chunks(table(spark, sf_dir, "text_chunks"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +49,37 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("val_corpus", "val_source", "train_split", "train_source").agg(F.countDistinct("val_row").alias("val_rows"), F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("edits") == 0).alias("exact_pairs"))
 
 
+def p5_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_budget(table(spark, sf_dir, "documents"), table(spark, sf_dir, "text_chunks"), table(spark, sf_dir, "ingestion_stats"))
+
+
+def p6_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blend(table(spark, sf_dir, "split_rows"), table(spark, sf_dir, "blend_targets"))
+
+
+def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blend_shares(table(spark, sf_dir, "split_rows"), table(spark, sf_dir, "blend_targets"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = conversation_defects(ordered_messages(table(spark, sf_dir, "messages")))
+    return found.filter("defect is not null").select("conversation_id", "defect")
+
+
+def p7_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations(table(spark, sf_dir, "messages"))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many containers are filled to which twentieth of their capacity."""
+    filled = pack_documents(table(spark, sf_dir, "documents")).groupBy("container").agg(F.sum("tokens").alias("tokens"))
+    return filled.groupBy((F.ceil(F.col("tokens") * 20 / CAPACITY) / 20).alias("filled_to")).agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -49,10 +93,19 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_pieces": p1_pieces,
     "p2_found": p2_found,
     "p2_labels": p2_labels,
     "p4_found": p4_found,
     "p4_report": p4_report,
+    "p5_budget": p5_budget,
+    "p6_blend": p6_blend,
+    "p6_shares": p6_shares,
+    "p7_found": p7_found,
+    "p7_conversations": p7_conversations,
+    "p8_containers": p8_containers,
+    "p8_fill": p8_fill,
     "p9_found": p9_found,
     "p10_found": p10_found,
     "p10_statistics": p10_statistics,
