@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("measurements",)
+MODULES = ("corpus", "chunks", "retrieval", "metrics", "store", "streams", "measurements")
 
 
 def _all(attribute: str) -> dict:
