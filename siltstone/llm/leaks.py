@@ -63,6 +63,12 @@ def window_length(counts: list[int]) -> int:
     return max(1, min([WINDOW, *(n // (n // EDITS + 1) for n in counts if n)]))
 
 
+def least_windows(n: int, length: int) -> int:
+    """Every leak of an item of n words leaves at least so many of its windows whole: each edit breaks `length` at most."""
+    whole = n - length + 1 - length * (n // EDITS)
+    return max(1, min(whole, RUN - length + 1) if n >= RUN else whole)
+
+
 class Items:
     """The words of all items, each with a number, and the slot type of each."""
 
@@ -143,19 +149,21 @@ def edits_within(doc: list[str], item: list[str]) -> int:
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        run, edits = [], []
+        run, edits, leaks = [], [], []
         for doc, item in zip(pdf["words"], pdf["item_words"]):
             doc, item = doc.split(" "), item.split(" ")
             run.append(longest_run(doc, item, RUN))
-            edits.append(edits_within(doc, item))
-        size = pdf["item_words"].str.count(" ").to_numpy() + 1
-        leaks = np.array(run, bool) | (np.array(edits) * EDITS <= size)
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "item_id": pdf["item_id"], "passage": run, "edits": edits, "windows": pdf["windows"], "consistent": pdf["consistent"]})[leaks]
+            edits.append(None if run[-1] else edits_within(doc, item))
+            leaks.append(run[-1] or edits[-1] * EDITS <= len(item))
+        found = pd.DataFrame({"doc_id": pdf["doc_id"], "item_id": pdf["item_id"], "passage": run, "edits": pd.array(edits, dtype="Int32"), "windows": pdf["windows"], "consistent": pdf["consistent"]})
+        yield found[np.array(leaks, bool)]
 
 
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, passage, edits, windows, consistent): documents that hold an item or a passage of it.
 
+    edits is counted only where no passage of RUN words decides, else null.
+
     The items are a fixed test set: at most ITEMS_ON_EXECUTORS of them are taken to every executor, and a larger set is an
     error that asks for a call for each part of the set, so nothing unbounded is ever broadcast.
     """
@@ -174,11 +182,11 @@ def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
         index += [(int(t), int(w), item) for t, w in zip(template, whole)]
     templates = np.unique(np.array([t for t, _, _ in index], dtype=np.int64))
     table = F.broadcast(spark.createDataFrame(pd.DataFrame(index, columns=["template", "item_whole", "item_id"]).drop_duplicates()))
-    texts = F.broadcast(spark.createDataFrame(pd.DataFrame([(i, " ".join(ws)) for i, ws in words.items()], columns=["item_id", "item_words"])))
+    texts = F.broadcast(spark.createDataFrame(pd.DataFrame([(i, " ".join(ws), least_windows(len(ws), known.length)) for i, ws in words.items()], columns=["item_id", "item_words", "least"])))
     hits = documents.select("doc_id", "text").filter("text is not null").mapInPandas(_document_windows(known, templates), "doc_id long, words string, template array<long>, whole array<long>, at array<int>")
     hits = stage(hits, "windows")
     windows = hits.select("doc_id", F.explode(F.arrays_zip("template", "whole")).alias("w")).select("doc_id", "w.template", "w.whole")
     slots = windows.join(table, "template").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("windows"), F.count_if(F.col("whole") == F.col("item_whole")).alias("consistent"))
-    pairs = slots.filter("consistent > 0")
-    candidates = hits.select("doc_id", "words").join(pairs, "doc_id").join(texts, "item_id")
+    pairs = slots.join(texts, "item_id").filter("consistent >= least")
+    candidates = hits.select("doc_id", "words").join(pairs, "doc_id")
     return candidates.select("doc_id", "item_id", "words", "item_words", "windows", "consistent").mapInPandas(_verify, result)
