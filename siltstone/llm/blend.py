@@ -27,6 +27,7 @@ TARGETS = 10_000
 def water_fill(weights: list[float], caps: list[int], total: int) -> list[int]:
     """Whole rows for each source: within its cap, in proportion to the weights, their sum total where the caps allow it."""
     w, cap = np.maximum(np.nan_to_num(np.array(weights, float)), 0), np.array(caps, float)
+    w = w / (w.max(initial=0.0) or 1.0)
     due, free = np.zeros(len(w)), (w > 0) & (cap > 0)
     left = float(total)
     while free.any() and left > 0:

@@ -63,16 +63,16 @@ EXAMPLES = (
     ("list", "values", "\n".join(_VALUES)),
     ("list", "enumeration", ", ".join(_ITEMS * 2)),
     ("list", "enumeration", "Checklist:\n" + "; ".join(_PARTS)),
-    ("list", "after text", _EN[0] + "\n" + "\n".join("- " + x for x in _ITEMS * 2)),
-    ("list", "after text", _EN[2] + "\n" + ", ".join(_ITEMS * 3)),
+    ("list", "bullets after text", _EN[0] + "\n" + "\n".join("- " + x for x in _ITEMS * 2)),
+    ("list", "enumeration after text", _EN[2] + "\n" + ", ".join(_ITEMS * 3)),
     ("list", "han", "\n".join("- " + x for x in ("给水泵", "冷却塔", "储罐", "离心机", "调节阀", "搅拌器", "分离器", "冷凝器"))),
     ("table", "bars", "| " + " | ".join(_HEAD) + " |\n| --- | --- | --- | --- | --- |\n" + "\n".join("| " + " | ".join(c) + " |" for c in _CELLS)),
     ("table", "bars", (_RULE + "\n").join("|" + "|".join(x.center(12) for x in c) + "|\n" for c in _CELLS)),
     *[("table", "separated", "\n".join(mark.join(c) for c in [_HEAD, *_CELLS])) for mark in (",", ";")],
     ("table", "aligned", "\n".join("  ".join(x.ljust(12) for x in c) for c in [_HEAD, *_CELLS])),
     ("table", "aligned", "\n".join("\t".join(c) for c in [_HEAD, *_CELLS])),
-    ("table", "after text", _EN[0] + "\n\n" + "\n".join(",".join(c) for c in [_HEAD, *_CELLS, *_CELLS])),
-    ("table", "after text", _EN[2] + "\n\n" + "\n".join("| " + " | ".join(c) + " |" for c in _CELLS * 2)),
+    ("table", "separated after text", _EN[0] + "\n\n" + "\n".join(",".join(c) for c in [_HEAD, *_CELLS, *_CELLS])),
+    ("table", "bars after text", _EN[2] + "\n\n" + "\n".join("| " + " | ".join(c) + " |" for c in _CELLS * 2)),
     ("junk", "signs", _SIGNS),
     ("junk", "signs", _MIXED),
     ("junk", "encoded", _BASE),
