@@ -11,36 +11,24 @@ the text's letters and function words tell ('und' if none); a null source or dom
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tokenizer import TOKENIZER, encoding
 from ..session import stage
 from .defects import language
 from .quality import COMMA, DIGIT, HAN, LOWER, MARK, NEWLINE, SPACE, STOP, SYMBOL, TAB, UPPER, classes
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LANGUAGES = ("en", "de", "fr", "es", "zh")
 SAMPLE = 2000
 RIDGE = 1e-3
 FEATURES = ("bytes", "words", "digits", "punctuation", "symbols", "han", "accented", "upper", "breaks")
 
 
-@lru_cache(2)
-def encoding(path: str = TOKENIZER, pattern: str | None = None):
-    import tiktoken
-
-    if pattern is None:
-        from public_tokenizers import PATTERN as pattern
-    ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, open(path, "rb"))}
-    return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-
 def count_tokens(texts: list[str | None], path: str = TOKENIZER) -> list[int]:
     return [len(x) for x in encoding(path).encode_ordinary_batch([t or "" for t in texts], num_threads=1)]
 
