@@ -126,13 +126,13 @@ def _index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             lowest, highest = n * 4 // 5 + 1, -(-5 * n // 4) - 1
             lengths = np.arange(lowest, highest + 1)
             bands = band_of(lengths)
-            ranges = [(int(b), int(lengths[bands == b][0]), int(lengths[bands == b][-1])) for b in np.unique(bands)]
-            need = [allowed(max(n, high)) + 1 for _, _, high in ranges]
+            ranges = [(int(b), int(lengths[bands == b][-1])) for b in np.unique(bands)]
+            need = [allowed(max(n, longest)) + 1 for _, longest in ranges]
             chosen, hashes = choose(estimated(np.asarray(one, float), np.asarray(two, float)), n, need), _shingles(word_hashes(words))
-            for (band, low, high), count in zip(ranges, need):
+            for (band, _), count in zip(ranges, need):
                 keys = _key(np.array([hashes[k][at] for at, k in chosen[count]], np.uint64), band)
-                out += [(int(h), key, at, n, low, high) for h, (at, _) in zip(keys, chosen[count])]
-        yield pd.DataFrame(out, columns=["h", "key_a", "at_a", "n", "low", "high"])
+                out += [(int(h), key, at, n) for h, (at, _) in zip(keys, chosen[count])]
+        yield pd.DataFrame(out, columns=["h", "key_a", "at_a", "n"])
 
 
 def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,7 +181,7 @@ def split_overlaps(rows: DataFrame) -> DataFrame:
     places = places.join(pieces.withColumnRenamed("n", "one"), "h", "left").join(pieces.select(F.col("h").alias("h2"), F.col("n").alias("two")), "h2", "left")
     known = places.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("one", F.lit(0)).alias("one"), F.coalesce("two", F.lit(0)).alias("two")))).alias("p"))
     known = known.select("key", "p.one", "p.two").join(a.select("key", "words"), "key").select("key", "words", "one", "two")
-    index = stage(known.mapInPandas(_index, "h long, key_a long, at_a int, n int, low int, high int"), "index")
+    index = stage(known.mapInPandas(_index, "h long, key_a long, at_a int, n int"), "index")
     left = a.select(F.col("key").alias("key_a"), F.col("text_id").alias("id_a"), F.col("signature").alias("signature_a"))
     if index.limit(INDEX_BROADCAST_ROWS + 1).count() <= INDEX_BROADCAST_ROWS:
         index, left = F.broadcast(index), F.broadcast(left)
@@ -192,7 +192,7 @@ def split_overlaps(rows: DataFrame) -> DataFrame:
         at_b = F.when(F.col("place") >= before, F.col("place") - before).otherwise(at_b)
     shift = at_b - F.col("at_a")
     most = F.ceil(F.greatest("n", "m") / F.lit(5)) - 1
-    near = F.col("m").between(F.col("low"), F.col("high")) & (F.abs(shift) + F.abs(F.col("m") - F.col("n") - shift) <= most)
+    near = F.abs(shift) + F.abs(F.col("m") - F.col("n") - shift) <= most  # edits before the shingle, and after it
     bits = sum((F.bit_count(F.expr(f"signature_a[{i}] ^ signature_b[{i}]")) for i in range(SIGNATURE_LONGS)), F.lit(0))
     pairs = probes.join(index, "h").filter(near).join(left, "key_a").filter(bits <= 2 * most).select("key_a", "key_b").distinct()
     pairs = stage(pairs, "pairs")
