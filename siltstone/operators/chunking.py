@@ -27,8 +27,7 @@ def fixed_chunks(documents: DataFrame, size: int = 400, overlap: int = 80) -> Da
 def sentence_spans(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
     """Chunks end at the last sentence end within size, else at size; the next starts overlap before, at least one further.
 
-    As in the workbench that this follows, chunks go on until a start reaches the end of the text, so a text's tail is
-    covered by a row of shrinking chunks.
+    Chunks go on until a start reaches the end of the text, so a text's tail is covered by a row of shrinking chunks.
     """
     ends = [m.end() for m in _SENTENCE.finditer(text)] + [len(text)]
     out, start, at = [], 0, 0
