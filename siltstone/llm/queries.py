@@ -110,4 +110,14 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_statistics": p10_statistics,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p1_found": "SELECT DISTINCT chunk_id FROM text_chunks WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 400",
+    "p7_found": r"""WITH m AS (SELECT id, conversation_id, content, lower(regexp_replace(coalesce(role, ''), '[\s\pZ\pC]+', '', 'g')) AS r, CAST(CASE WHEN regexp_matches(trim(created_at), '(Z|[+-]\d{2}:?\d{2})$') AND contains(created_at, ':') THEN trim(created_at) ELSE trim(created_at) || 'Z' END AS TIMESTAMPTZ) AS ts FROM messages WHERE conversation_id IS NOT NULL),
+        c AS (SELECT id, conversation_id AS cid, content, ts, CASE WHEN r = 'human' THEN 'user' WHEN r IN ('gpt', 'bot') THEN 'assistant' ELSE r END AS role FROM m),
+        d AS (SELECT cid, role, content, ts, min(id) AS id, coalesce(regexp_matches(content, '[^\s\pZ\pC]'), false) AS visible FROM c GROUP BY cid, role, content, ts),
+        t AS (SELECT cid, role, lag(role) OVER w AS before, lead(role) OVER w AS after FROM d WHERE visible AND role IN ('user', 'assistant') WINDOW w AS (PARTITION BY cid ORDER BY ts, id)),
+        s AS (SELECT cid, bool_or(role = 'assistant' AND coalesce(before, 'assistant') = 'assistant') AS broken, bool_or(role = 'user' AND coalesce(after, 'user') = 'user') AS missing FROM t GROUP BY cid),
+        a AS (SELECT d.cid, bool_or(role NOT IN ('user', 'assistant', 'system', 'tool')) AS strange FROM d GROUP BY d.cid),
+        f AS (SELECT a.cid AS conversation_id, CASE WHEN s.cid IS NULL THEN 'empty' WHEN strange OR broken THEN 'broken' WHEN missing THEN 'missing_reply' END AS defect FROM a LEFT JOIN s ON a.cid = s.cid)
+        SELECT conversation_id, defect FROM f WHERE defect IS NOT NULL""",
+}
