@@ -108,7 +108,8 @@ def empty_votes(response: str | None) -> list[int]:
     seen = visible(response)
     bare = visible(_MARKER.sub("", response or ""))
     against = -1 if len(bare) > 16 else 0
-    return [1 if not seen else against, 1 if not bare.strip("\"'`*_") or bare.lower().strip("\"'`*_") in PLACEHOLDERS else -1, 1 if not any(map(str.isalnum, bare)) else against]
+    wordless = not any(map(str.isalnum, bare))
+    return [1 if not seen else against, 1 if wordless or bare.lower().strip("\"'`*_") in PLACEHOLDERS else -1, 1 if wordless else against]
 
 
 def copy_votes(question: str | None, response: str | None) -> list[int]:
@@ -296,6 +297,7 @@ EXAMPLES = (
     (None, _Q, None, (0, 0), "empty"),
     (None, _Q, " \ufeff\n", (0, 0), "empty"),
     (None, _Q, "N/A", (0, 0), "empty"),
+    (None, _Q, "—", (0, 0), "empty"),
     (None, _Q, "<|assistant|>", (0, 0), "empty"),
     (None, _Q, _Q.lower(), (0, 0), "copies_question"),
     (None, _Q, "You asked: " + _Q, (0, 0), "copies_question"),
