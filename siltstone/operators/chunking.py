@@ -1,4 +1,11 @@
-"""Chunking of documents: fixed windows in the JVM; sentence and knowledge chunks, whose next start depends on the last end, as a small function over whole texts in Arrow batches."""
+"""Chunking of documents.
+
+Fixed windows are made in the JVM; sentence and knowledge chunks, whose next start depends on the last end, by a small function
+over whole texts in Arrow batches, one text at a time however long.
+
+Defined results: null and empty texts give no chunk, blank pieces are left out; positions are code points; rows with equal
+doc_id are chunked each for itself.
+"""
 
 from __future__ import annotations
 

@@ -2,6 +2,9 @@
 
 Rows are range-sorted over (keys, order) into pieces; a row's position is its place within its piece plus the sizes of the
 pieces before it. A key with a third of all rows is cut into as many pieces as its share of the data asks for.
+
+Defined results: an empty table gives no rows; nulls in a running column count as zero; columns of the input keep their names,
+and names that begin with an underscore followed by r_, t_, k_, b_ or s_ are reserved.
 """
 
 from __future__ import annotations
