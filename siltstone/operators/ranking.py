@@ -3,7 +3,8 @@
 Rows are range-sorted over (keys, order) into pieces; a row's position is its place within its piece plus the sizes of the
 pieces before it. A key with a third of all rows is cut into as many pieces as its share of the data asks for.
 
-Defined results: an empty table gives no rows; nulls in a running column count as zero; columns of the input keep their names,
+Defined results: an empty table gives no rows; nulls in a running column count as zero; a column named position, or as a
+running total, is replaced; the other columns keep their names,
 and names that begin with an underscore followed by r_, t_, k_, b_ or s_ are reserved.
 """
 
@@ -33,4 +34,4 @@ def positions(df: DataFrame, order: list, keys: list[str] = (), running: dict[st
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     placed = ranged.withColumns({"_place": F.row_number().over(inside), **{f"_t_{n}": F.coalesce(F.sum(f"_r_{n}").over(inside), F.lit(0)) for n in running}})
     found = placed.join(sizes, same).withColumns({"position": (F.col("_place") + F.col("_before")).cast("long"), **{n: F.col(f"_t_{n}") + F.col(f"_b_{n}") for n in running}})
-    return found.select(*[c for c in df.columns if c not in running], "position", *running)
+    return found.select(*[c for c in df.columns if c not in running and c != "position"], "position", *running)

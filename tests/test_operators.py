@@ -20,6 +20,7 @@ def test_positions_with_a_hot_key_and_nulls(spark):
         assert part["position"].tolist() == list(range(1, len(part) + 1))
         assert part["total"].tolist() == part["v"].cumsum().tolist()
     assert positions(df.limit(0), ["v"]).count() == 0
+    assert positions(df.withColumn("position", F.lit("x")), ["v", "k"]).schema["position"].dataType.simpleString() == "bigint"
 
 
 @pytest.mark.parametrize("cosine", [True, False])
