@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -69,8 +70,10 @@ _COURTESY = re.compile(r"sorry|apolog|unfortunately|regret|respect|thank|underst
 _LEAD = 6
 
 
-def visible(text: str | None) -> str:
-    return "".join(c for c in text or "" if unicodedata.category(c)[0] not in "ZC" and c not in "\u2800\u3164\u115f\u1160")
+def visible(text: str | None, enough: int = 32) -> str:
+    """The visible characters of a text; no more than `enough` are looked for, since placeholders are shorter."""
+    seen = (c for c in text or "" if unicodedata.category(c)[0] not in "ZC" and c not in "\u2800\u3164\u115f\u1160")
+    return "".join(islice(seen, enough))
 
 
 def language(text: str | None) -> str | None:
@@ -108,7 +111,7 @@ def empty_votes(response: str | None) -> list[int]:
     seen = visible(response)
     bare = visible(_MARKER.sub("", response or ""))
     against = -1 if len(bare) > 16 else 0
-    wordless = not any(map(str.isalnum, bare))
+    wordless = not any(map(str.isalnum, _MARKER.sub("", response or "")))
     return [1 if not seen else against, 1 if wordless or bare.lower().strip("\"'`*_") in PLACEHOLDERS else -1, 1 if wordless else against]
 
 
@@ -117,7 +120,8 @@ def copy_votes(question: str | None, response: str | None) -> list[int]:
     if len(q) < 2 or not r:
         return [-1, -1, -1]
     found, left = _without(r, q)
-    share = sum(w in set(q) for w in r) / len(r)
+    known = set(q)
+    share = sum(w in known for w in r) / len(r)
     inside = len(r) >= 0.8 * len(q) and _without(q, r)[0] > 0
     return [1 if found and left <= _LEAD * found else -1, 1 if share >= 0.8 and len(r) >= 0.6 * len(q) else 0 if share >= 0.6 else -1, 1 if found and left <= len(q) // 2 or inside else -1 if left > 12 else 0]
 
