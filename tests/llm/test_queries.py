@@ -1,0 +1,21 @@
+from pathlib import Path
+
+import duckdb
+import pytest
+
+from siltstone.llm.queries import ORACLES, QUERIES
+
+DATA = Path("/root/testdata/sf0.001")
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="needs the test tables")
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_rows_equal_sql(spark, name):
+    con = duckdb.connect()
+    for f in DATA.glob("*.parquet"):
+        con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM read_parquet('{f}')")
+    df = QUERIES[name](spark, str(DATA))
+    result = con.execute(ORACLES[name])
+    columns = [d[0] for d in result.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert sorted(map(tuple, df.select(*columns).collect())) == sorted(result.fetchall())
