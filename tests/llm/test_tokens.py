@@ -70,3 +70,20 @@ def test_budget_of_odd_rows(spark):
     assert "de" in set(got.lang) and got[got.source.isna()].estimated_tokens.tolist() == [0]
     empty = spark.createDataFrame([], DOCS), spark.createDataFrame([], CHUNKS), spark.createDataFrame([], STATS)
     assert token_budget(*empty).count() == 0
+
+
+@needs_tokenizer
+def test_wrong_codes_yield_to_what_the_text_tells(spark):
+    texts = {
+        "en": "The pump is old and the bearing was checked by the operator before it had been started.",
+        "de": "Die Pumpe ist alt und das Lager wird nach der Prüfung nicht mit dem Motor verbunden.",
+        "fr": "La pompe est ancienne et les paliers ne sont pas dans le local pour la visite des moteurs.",
+        "es": "La bomba es vieja y los cojinetes se revisan por el operador cuando no está en marcha según el plan.",
+        "zh": "LT-101 | 4711 | " * 40 + "泵的轴承已经检查完毕",
+    }
+    rows = [(f"{true}-{stated}", t, stated, "a", None, 1) for true, t in texts.items() for stated in ("en", "de", "fr", "es", "zh", "EN-us", "xx", None)]
+    rows += [("keep-de", "chiller 4711", "de", "a", None, 1), ("keep-zh", "chiller 4711", "zh", "a", None, 1), ("und", "chiller 4711", None, "a", None, 1)]
+    docs = spark.createDataFrame(rows, DOCS.replace("doc_id long", "doc_id string"))
+    got = {r.key: r.lang for r in estimated_tokens(docs, spark.createDataFrame([], CHUNKS)).collect()}
+    assert [k for k, lang in got.items() if k[:2] in texts and lang != k[:2]] == []
+    assert (got["keep-de"], got["keep-zh"], got["und"]) == ("de", "zh", "und")
