@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import pieces
 from ..operators import chunking
 from ..operators.ranking import positions
-from ..session import table
+from ..session import stage, table
 
 SHARD_ROWS = 500
 WINDOW, STRIDE = 64, 32
@@ -45,7 +45,7 @@ def pair_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sliding windows over each document's pre-tokens: inputs, and targets one further."""
+    """Sliding windows within each document: inputs, and targets one further; `corpus_windows` loses no document's tail."""
     rows = table(spark, sf_dir, "documents").select("doc_id", pieces(F.col("text")).alias("tokens")).filter(F.size("tokens") > WINDOW)
     starts = rows.select("doc_id", "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - WINDOW - 1, F.lit(STRIDE))).alias("start"))
     window = F.slice("tokens", F.col("start") + 1, WINDOW)
@@ -53,7 +53,42 @@ def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return starts.select("doc_id", F.col("start").cast("long").alias("start"), F.md5(F.array_join(window, "\x1f")).alias("input_md5"), F.md5(F.array_join(following, "\x1f")).alias("target_md5"))
 
 
-QUERIES = {f.__name__: f for f in (fixed_chunks, sentence_chunks, knowledge_chunks, shard_layout, pretoken_freq, pair_freq, token_windows)}
+def stream_windows(texts: DataFrame, key: str, window: int = WINDOW, stride: int = STRIDE) -> DataFrame:
+    """Sliding windows over the pre-tokens of all texts in order of key, as one stream; only the stream's own tail is in none.
+
+    A stream too short for a window is repeated ceil((window + 2) / length) times. A text's pre-tokens are first gathered by
+    window within the text; parts of a window meet by its start, so no group is larger than a window.
+    """
+    rows = texts.select(key, pieces(F.col("text")).alias("tokens")).filter("size(tokens) > 0")
+    placed = positions(rows, [key], running={"end": F.size("tokens").cast("long")}).select((F.col("end") - F.size("tokens")).alias("at"), "tokens")
+    placed = stage(placed, "placed")
+    total = placed.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    if 0 < total <= window:
+        repeats = -(-(window + 2) // total)
+        again = placed.select("at", "tokens", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("turn"))
+        placed = again.select((F.col("at") + F.col("turn") * total).cast("long").alias("at"), "tokens")
+        total *= repeats
+    if total <= window:
+        return placed.select(F.col("at").alias("start"), F.lit("").alias("input_md5"), F.lit("").alias("target_md5")).limit(0)
+    last = (total - window - 1) // stride
+    n = F.size("tokens")
+    first = F.greatest(F.lit(0), F.floor((F.col("at") - window + stride - 1) / stride))
+    numbers = F.sequence(first.cast("long"), F.least(F.lit(last), F.floor((F.col("at") + n - 1) / stride)).cast("long"))
+    parts = placed.filter(first <= last).select("at", "tokens", F.explode(numbers).alias("number")).withColumn("start", F.col("number") * stride)
+    begin = F.greatest(F.lit(0), F.col("start") - F.col("at")).cast("int")
+    end = F.least(n, F.col("start") + window + 1 - F.col("at")).cast("int")
+    parts = parts.select("start", "at", F.slice("tokens", begin + 1, end - begin).alias("part"))
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda p: p["part"]))
+    windows = parts.groupBy("start").agg(whole.alias("tokens"))
+    return windows.select("start", F.md5(F.array_join(F.slice("tokens", 1, window), "\x1f")).alias("input_md5"), F.md5(F.array_join(F.slice("tokens", 2, window), "\x1f")).alias("target_md5"))
+
+
+def corpus_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sliding windows over the pre-tokens of the whole corpus, documents in order of id."""
+    return stream_windows(table(spark, sf_dir, "documents"), "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (fixed_chunks, sentence_chunks, knowledge_chunks, shard_layout, pretoken_freq, pair_freq, token_windows, corpus_windows)}
 
 _PIECES = r"regexp_extract_all(text, ' ?[\p{L}\p{N}_]+| ?[^\sA-Za-z0-9_]+|\s+')"
 _STRIP = r"regexp_replace(substr(t, st + 1, en - st), '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g')"
@@ -75,4 +110,8 @@ ORACLES = {
     "pretoken_freq": f"SELECT piece, count(*) AS n FROM (SELECT unnest({_PIECES}) AS piece FROM documents) GROUP BY piece",
     "pair_freq": f"WITH p AS (SELECT piece, count(*) AS n FROM (SELECT unnest({_PIECES}) AS piece FROM documents) GROUP BY piece HAVING length(piece) > 1), a AS (SELECT piece, n, unnest(range(1, length(piece))) AS i FROM p) SELECT substr(piece, i, 2) AS pair, CAST(sum(n) AS BIGINT) AS n FROM a GROUP BY 1",
     "token_windows": f"WITH r AS (SELECT doc_id, {_PIECES} AS tokens FROM documents), s AS (SELECT doc_id, tokens, unnest(range(0, len(tokens) - {WINDOW}, {STRIDE})) AS start FROM r WHERE len(tokens) > {WINDOW}) SELECT doc_id, start, md5(array_to_string(tokens[start + 1 : start + {WINDOW}], chr(31))) AS input_md5, md5(array_to_string(tokens[start + 2 : start + {WINDOW} + 1], chr(31))) AS target_md5 FROM s",
+    "corpus_windows": f"""WITH r AS (SELECT doc_id, {_PIECES} AS p FROM documents), t AS (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS tok FROM r), n AS (SELECT count(*) AS n, CASE WHEN count(*) BETWEEN 1 AND {WINDOW} THEN CAST(ceil({WINDOW + 2} / count(*)) AS BIGINT) ELSE 1 END AS turns FROM t),
+        g AS (SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS k, tok FROM t), c AS (SELECT k, tok, n, turns, unnest(range(turns)) AS turn FROM g, n), a AS (SELECT k + turn * n AS k, tok, n * turns AS total FROM c),
+        w AS (SELECT k, tok, total, unnest(range(greatest(0, (k - {WINDOW} + {STRIDE} - 1) // {STRIDE}), k // {STRIDE} + 1)) * {STRIDE} AS start FROM a)
+        SELECT start, md5(string_agg(tok, chr(31) ORDER BY k) FILTER (k < start + {WINDOW})) AS input_md5, md5(string_agg(tok, chr(31) ORDER BY k) FILTER (k > start)) AS target_md5 FROM w WHERE k <= start + {WINDOW} AND start < total - {WINDOW} GROUP BY start""",
 }
