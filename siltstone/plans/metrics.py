@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import BLANKS, unicode_words, words
 from ..operators.ranking import positions
 from ..session import table
 
@@ -46,12 +46,21 @@ def bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def low_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Responses that are empty, or of twelve words or more with too few different ones."""
+    """Responses without ASCII words, or of twelve such words or more with too few different ones; see `weak_replies`."""
     w = words(F.col("response"))
     rows = table(spark, sf_dir, "prepare_openorca").select("row_id", w.alias("w"))
     return rows.filter((F.size("w") == 0) | (F.size("w") >= 12) & (F.size(F.array_distinct("w")) / F.size("w") < 0.38)).select("row_id", F.size("w").cast("long").alias("n_words"))
 
 
+def weak_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses that are blank, are at a loss, or have twelve words or more of any script with too few different ones."""
+    text = F.coalesce("response", F.lit(""))
+    rows = table(spark, sf_dir, "prepare_openorca").select("row_id", text.alias("t"), unicode_words(text).alias("w"))
+    blank, lost = ~F.col("t").rlike(f"[^{BLANKS}]"), F.contains(F.lower("t"), F.lit("not sure how to proceed"))
+    loops = (F.size("w") >= 12) & (F.size(F.array_distinct("w")) / F.size("w") < 0.38)
+    return rows.filter(blank | lost | loops).select("row_id", F.size("w").cast("long").alias("n_words"))
+
+
 def perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of a loss-like score per source, and exp of it, capped."""
     rows = table(spark, sf_dir, "documents").groupBy("source").agg(F.avg("score").alias("loss"))
@@ -72,7 +81,7 @@ def split_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("corpus", "source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(near.cast("double")), 6).alias("agreement"))
 
 
-QUERIES = {f.__name__: f for f in (rouge1, bleu, low_quality, perplexity, tumbling_mean, split_agreement)}
+QUERIES = {f.__name__: f for f in (rouge1, bleu, low_quality, weak_replies, perplexity, tumbling_mean, split_agreement)}
 
 _WORDS = "coalesce(regexp_extract_all(lower({c}), '[a-z]+'), [])"
 _PAIRS = f"p AS (SELECT row_id, {_WORDS.format(c='response')} AS h, {_WORDS.format(c='question')} AS r FROM prepare_openorca), x AS (SELECT * FROM p WHERE len(h) > 0 AND len(r) > 0)"
@@ -87,6 +96,7 @@ ORACLES = {
     "rouge1": f"WITH {_PAIRS}, {_gram_sql(1)}, s AS (SELECT x.row_id, coalesce(m1, 0) / len(h) AS p, coalesce(m1, 0) / len(r) AS r FROM x LEFT JOIN m1 ON x.row_id = m1.row_id) SELECT row_id, round(p, 4) AS p, round(r, 4) AS r, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 4) AS f1 FROM s",
     "bleu": f"WITH {_PAIRS}, {', '.join(_gram_sql(n) for n in range(1, 5))}, s AS (SELECT x.row_id, len(h) AS nh, len(r) AS nr, coalesce(m1, 0) / greatest(len(h), 1) AS s1, coalesce(m2, 0) / greatest(len(h) - 1, 1) AS s2, coalesce(m3, 0) / greatest(len(h) - 2, 1) AS s3, coalesce(m4, 0) / greatest(len(h) - 3, 1) AS s4 FROM x LEFT JOIN m1 USING (row_id) LEFT JOIN m2 USING (row_id) LEFT JOIN m3 USING (row_id) LEFT JOIN m4 USING (row_id)) SELECT row_id, round(CASE WHEN least(s1, s2, s3, s4) > 0 THEN (CASE WHEN nh >= nr THEN 1.0 ELSE exp(1 - nr / nh) END) * exp((ln(s1) + ln(s2) + ln(s3) + ln(s4)) / 4) ELSE 0 END, 4) AS bleu FROM s",
     "low_quality": f"WITH r AS (SELECT row_id, {_WORDS.format(c='response')} AS w FROM prepare_openorca) SELECT row_id, len(w) AS n_words FROM r WHERE len(w) = 0 OR (len(w) >= 12 AND len(list_distinct(w)) / len(w) < 0.38)",
+    "weak_replies": r"WITH r AS (SELECT row_id, coalesce(response, '') AS t, coalesce(regexp_extract_all(lower(coalesce(response, '')), '[\p{L}\p{N}_]+'), []) AS w FROM prepare_openorca) SELECT row_id, len(w) AS n_words FROM r WHERE NOT regexp_matches(t, '[^\s\x0B\x1C-\x1F\x{85}\pZ]') OR contains(lower(t), 'not sure how to proceed') OR (len(w) >= 12 AND len(list_distinct(w)) / len(w) < 0.38)",
     "perplexity": "SELECT source, round(avg(score), 6) AS mean_loss, round(exp(least(avg(score), 20.0)), 4) AS perplexity FROM documents GROUP BY source",
     "tumbling_mean": "WITH r AS (SELECT event_type, value, (row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1) // 100 AS step FROM events) SELECT event_type, step, count(*) AS n, round(avg(value), 6) AS mean_value FROM r GROUP BY ALL",
     "split_agreement": "SELECT corpus, source, count(*) AS n, round(avg(CASE WHEN abs(estimated_tokens - length(text) / 4.0) <= length(text) / 40.0 THEN 1.0 ELSE 0.0 END), 6) AS agreement FROM split_rows WHERE estimated_tokens IS NOT NULL GROUP BY corpus, source",

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize, pieces
+from ..functions.text import BLANKS, normalize, pieces, strip
 from ..functions.tokenizer import decode, encode
 from ..operators.ranking import positions
 from ..operators.search import vector_top_k
@@ -16,6 +16,10 @@ from .retrieval import TEXT_DIM, hashed_embedding, lexical_search
 LENGTH = 64
 BATCH = 32
 HELD = 0.02
+MOST, LEAST = 800, 100
+FALLBACK = "[The model is still learning — try rephrasing your question or add more documents to the knowledge base.]"
+ROLES = r"<\|(?:user|assistant|system)\|>"
+META = r"(?iu)(the given task is|here is a step[^\n]by[^\n]step|step [\p{Nd}]+:|determine if|find the appropriate|the problem is|let's see|okay,)[^\n]*\n?"
 #: The first rule that matches names the text.
 RULES = (("table", r"\|.*\|"), ("hex", r"^[0-9a-f]{8} "), ("list", r"^(- |\* |\[.?\] |[0-9]+[.)] )"), ("dialogue", r"^(Operator|Assistant):"), ("heading", r"^# "))
 
@@ -71,7 +75,10 @@ def numbered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers without markers and label, at most three paragraphs and 800 characters, cut after a full stop if one is late."""
+    """Answers without markers and label, at most three paragraphs and 800 characters, cut after a full stop if one is late.
+
+    `cleaned_answers` has all stages.
+    """
     t = F.regexp_replace(F.coalesce("response", F.lit("")), r"<\|[^|<>]*\|>", "")
     t = F.regexp_replace(t, r"^\s*(Q:|A:|Question:|Answer:|###)\s*", "")
     rows = table(spark, sf_dir, "prepare_openorca").select("row_id", F.array_join(F.slice(F.split(t, "\n\n"), 1, 3), "\n\n").alias("t"))
@@ -81,6 +88,31 @@ def clean_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row_id", normalize(cut).alias("answer"))
 
 
+def cleaned(raw: Column, prompt: Column) -> Column:
+    """A raw answer without markers, echoed prompt, thoughts, label, meta-commentary and loops, capped; FALLBACK if nothing is left."""
+    t = F.regexp_replace(F.coalesce(raw, F.lit("")), "<bos>|<eos>", "")
+    t = F.regexp_replace(t, ROLES, "")
+    asked = strip(F.regexp_replace(F.replace(F.coalesce(prompt, F.lit("")), F.lit("<bos>")), ROLES, ""))
+    t = F.when((asked != "") & F.startswith(strip(t), asked), F.substr(strip(t), F.length(asked) + 1)).otherwise(t)
+    t = F.regexp_replace(t, r"(?s)<think>.*?</think>", "")
+    t = F.regexp_replace(t, r"(?s)<think>.*", "")
+    t = F.regexp_replace(t, rf"^[{BLANKS}]*(Q:|A:|### Response:|### Instruction:)[{BLANKS}]*", "")
+    t = F.regexp_replace(t, META, "")
+    t = F.regexp_replace(t, rf"(?<![\p{{L}}\p{{N}}_])([\p{{L}}\p{{N}}_]+)([{BLANKS}]+\1){{3,}}", "$1 $1")
+    t = strip(F.regexp_replace(t, rf"([^\p{{L}}\p{{N}}_{BLANKS}]){{5,}}", "$1$1"))
+    head = F.left(t, F.lit(MOST))
+    stop = F.length(head) - F.locate(".", F.reverse(head)) + 1
+    late = (F.locate(".", head) > 0) & (stop - 1 > LEAST)
+    t = F.when(F.length(t) <= MOST, t).when(late, F.left(head, stop)).otherwise(F.concat(strip(head), F.lit("…")))
+    paragraphs = F.filter(F.transform(F.split(t, "\n\n"), strip), lambda p: p != "")
+    return F.when(F.size(paragraphs) > 0, F.array_join(F.slice(paragraphs, 1, 3), "\n\n")).otherwise(FALLBACK)
+
+
+def cleaned_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every response cleaned by all stages, its question being the prompt."""
+    return table(spark, sf_dir, "prepare_openorca").select("row_id", cleaned(F.col("response"), F.col("question")).alias("answer"))
+
+
 def first_match(c: Column, rules: tuple[tuple[str, str], ...], default: str) -> Column:
     """The name of the first rule whose pattern is found."""
     out = None
@@ -111,7 +143,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(best).cast("long")).filter("rank <= 3")
 
 
-QUERIES = {f.__name__: f for f in (bpe_encode, instruct_pack, seeded_batches, random_holdout, numbered_items, clean_output, rule_labels, right_context, hybrid_search)}
+QUERIES = {f.__name__: f for f in (bpe_encode, instruct_pack, seeded_batches, random_holdout, numbered_items, clean_output, cleaned_answers, rule_labels, right_context, hybrid_search)}
 
 _PIECES = r"coalesce(regexp_extract_all({c}, ' ?[\p{{L}}\p{{N}}_]+| ?[^\sA-Za-z0-9_]+|\s+'), [])"
 _SHUFFLED = "SELECT doc_id, row_number() OVER (ORDER BY md5(concat_ws(':', '{seed}', CAST(doc_id AS VARCHAR))), doc_id) AS k FROM documents"
