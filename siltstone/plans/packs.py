@@ -11,7 +11,7 @@ from ..functions.tokenizer import decode, encode
 from ..operators.ranking import positions
 from ..operators.search import vector_top_k
 from ..session import table
-from .retrieval import TEXT_DIM, hashed_embedding, lexical_search
+from .retrieval import TEXT_DIM, hashed_embedding, phrase_search
 
 LENGTH = 64
 BATCH = 32
@@ -138,7 +138,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), embed("text").alias("vector"))
     items = table(spark, sf_dir, "eval_items").select(F.col("item_id").alias("id"), embed("text").alias("vector"))
     dense = vector_top_k(docs, items, 3, TEXT_DIM).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.lit("dense").alias("branch"))
-    both = dense.unionByName(lexical_search(spark, sf_dir).select("item_id", "doc_id", "score", F.lit("lexical").alias("branch")))
+    both = dense.unionByName(phrase_search(spark, sf_dir).select("item_id", "doc_id", "score", F.lit("lexical").alias("branch")))
     best = Window.partitionBy("item_id").orderBy(F.col("score").desc(), "branch", "doc_id")  # six rows an item
     return both.withColumn("rank", F.row_number().over(best).cast("long")).filter("rank <= 3")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import STOP_WORDS, normalize, terms, words
 from ..operators.ranking import positions
 from ..operators.search import vector_top_k
-from ..session import partitions, table
+from ..session import partitions, stage, table
 
 DIM = 64
 TOP = 5
@@ -93,7 +93,7 @@ def hit_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every item's terms against the terms of all documents: matched share, three best documents.
+    """Every item's terms against the terms of all documents: matched share, three best documents; see `phrase_search`.
 
     The three best are first sought within slices of an item's documents, so that no item's candidates meet in one task.
     """
@@ -108,6 +108,31 @@ def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(whole).cast("long")).filter("rank <= 3").select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item's terms against all documents by matched share, a bonus for the phrase of all terms and one for its early place.
+
+    Blanks enclose the phrase's inner terms, so a document that holds it matches all of them that are terms as they stand: only
+    candidates with as many matches are joined to their text. Others matter only where they are among a slice's three best.
+    """
+    lowered = F.replace(F.lower("text"), F.lit("calliper"), F.lit("caliper"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", lowered.alias("lowered"), F.length("text").alias("chars"))
+    items = table(spark, sf_dir, "eval_items").select("item_id", terms(lowered).alias("t")).filter("size(t) > 0")
+    inner = F.filter("t", lambda w, i: (i > 0) & (i < F.size("t") - 1) & (F.length(w) >= 4) & ~w.isin(*STOP_WORDS))
+    items = items.select("item_id", "t", F.size("t").alias("n"), F.size(inner).alias("least"))
+    found = docs.select("doc_id", F.explode(terms(F.col("lowered"))).alias("term"))
+    matched = found.join(items.select("item_id", "n", "least", F.explode("t").alias("term")), "term").groupBy("item_id", "n", "least", "doc_id").agg(F.count(F.lit(1)).alias("matched"))
+    part = Window.partitionBy("item_id", F.pmod("doc_id", F.lit(4 * partitions(spark))))
+    kept = matched.withColumn("r", F.row_number().over(part.orderBy(F.col("matched").desc(), "doc_id"))).filter("r <= 3 or matched >= least")
+    kept = stage(kept.withColumn("score", F.col("matched") / F.col("n")), "candidates")
+    near = kept.filter("matched >= least").join(items.select("item_id", F.array_join("t", " ").alias("phrase")), "item_id").join(docs, "doc_id")
+    near = near.withColumn("at", F.instr("lowered", F.col("phrase")))
+    bonus = F.when(F.col("at") > 0, 0.5 + 0.25 * (1 - (F.col("at") - 1) / F.greatest("chars", F.lit(1)))).otherwise(0.0)
+    scored = kept.filter("matched < least").select("item_id", "doc_id", "score").unionByName(near.select("item_id", "doc_id", (F.col("score") + bonus).alias("score")))
+    best = [F.col("score").desc(), F.col("doc_id")]
+    first = scored.withColumn("r", F.row_number().over(part.orderBy(*best))).filter("r <= 3")
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(*best)).cast("long")).filter("rank <= 3").select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
 def evidence_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses that share a term with their question; a question without terms keeps its response."""
     rows = table(spark, sf_dir, "prepare_openorca").select("row_id", terms(F.col("question")).alias("q"), terms(F.col("response")).alias("r"))
@@ -155,7 +180,7 @@ def index_import_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.join(rows.select("vec_id"), "vec_id", "left_anti").select("vec_id", F.col("label").cast("long").alias("label"))
 
 
-QUERIES = {f.__name__: f for f in (tfidf_df, tfidf_weights, text_top_k, vector_topk_cosine, vector_topk_dot, vector_source_filter, dim_guard, hit_at_k, lexical_search, evidence_filter, extractive_reply, context_pack, citations, source_counts, index_upsert, index_import_new)}
+QUERIES = {f.__name__: f for f in (tfidf_df, tfidf_weights, text_top_k, vector_topk_cosine, vector_topk_dot, vector_source_filter, dim_guard, hit_at_k, lexical_search, phrase_search, evidence_filter, extractive_reply, context_pack, citations, source_counts, index_upsert, index_import_new)}
 
 _WORDS = "coalesce(regexp_extract_all(lower({c}), '[a-z]+'), [])"
 _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -175,6 +200,7 @@ ORACLES = {
     "dim_guard": "SELECT label, count(*) FILTER (len(embedding) = 64) AS usable, count(*) FILTER (coalesce(len(embedding), 0) <> 64) AS skipped FROM embeddings GROUP BY label",
     "hit_at_k": f"WITH p AS ({_PAIRS.format(score=_COSINE)}), r AS (SELECT *, {_TOP} AS rank FROM p), h AS (SELECT query_id, query_label AS label, max(CASE WHEN label = query_label THEN 1 ELSE 0 END) AS hit FROM r WHERE rank <= 5 AND id <> query_id GROUP BY ALL) SELECT label, count(*) AS queries, round(avg(CAST(hit AS DOUBLE)), 6) AS hit_rate FROM h GROUP BY label",
     "lexical_search": f"WITH d AS (SELECT doc_id, unnest({_TERMS.format(c='text')}) AS term FROM documents), i AS (SELECT item_id, {_TERMS.format(c='text')} AS t FROM eval_items), x AS (SELECT item_id, len(t) AS n, unnest(t) AS term FROM i), m AS (SELECT item_id, n, doc_id, count(*) AS matched FROM d JOIN x ON d.term = x.term GROUP BY ALL), r AS (SELECT *, matched / n AS score, row_number() OVER (PARTITION BY item_id ORDER BY matched / n DESC, doc_id) AS rank FROM m) SELECT item_id, doc_id, rank, round(score, 6) AS score FROM r WHERE rank <= 3",
+    "phrase_search": f"WITH d AS (SELECT doc_id, text, replace(lower(text), 'calliper', 'caliper') AS low FROM documents), i AS (SELECT item_id, {_TERMS.format(c="replace(lower(text), 'calliper', 'caliper')")} AS t FROM eval_items), e AS (SELECT doc_id, unnest({_TERMS.format(c='low')}) AS term FROM d), x AS (SELECT item_id, len(t) AS n, unnest(t) AS term FROM i), m AS (SELECT item_id, n, doc_id, count(*) AS matched FROM e JOIN x ON e.term = x.term GROUP BY ALL), p AS (SELECT m.*, instr(low, array_to_string(t, ' ')) AS pos, length(text) AS chars FROM m JOIN i USING (item_id) JOIN d USING (doc_id)), s AS (SELECT item_id, doc_id, matched / n + CASE WHEN pos > 0 THEN 0.5 + CAST(0.25 AS DOUBLE) * (1 - (pos - 1) / greatest(chars, 1)) ELSE 0 END AS score FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT item_id, doc_id, rank, round(score, 6) AS score FROM r WHERE rank <= 3",
     "evidence_filter": f"WITH r AS (SELECT row_id, {_TERMS.format(c='question')} AS q, {_TERMS.format(c='response')} AS a FROM prepare_openorca) SELECT row_id FROM r WHERE len(q) = 0 OR list_has_any(q, a)",
     "extractive_reply": _REPLY,
     "context_pack": f"WITH r AS (SELECT conversation_id, id, CAST(sum(length(coalesce(content, ''))) OVER (PARTITION BY conversation_id ORDER BY id) AS BIGINT) AS running_chars FROM messages WHERE conversation_id IS NOT NULL) SELECT * FROM r WHERE running_chars <= {CONTEXT_CHARS}",
