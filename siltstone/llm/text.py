@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 
 MARKER = r"<\|[^|<>]*\|>"
 WORD = r"[\p{L}\p{N}]+"
+_WORD = re.compile(r"[^\W_]+")
+_SIGNS = {c: " " for c in range(128) if not chr(c).isalnum()}
 
 
 def words_of(c: Column | str) -> Column:
@@ -17,9 +21,14 @@ def words_of(c: Column | str) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(F.regexp_replace(c, MARKER, " ")), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
+def runs_of(text: str) -> list[str]:
+    """Runs of letters and digits; ASCII texts are cut without a pattern, which is several times as fast."""
+    return text.translate(_SIGNS).split() if text.isascii() else _WORD.findall(text)
+
+
 def word_hashes(words: list[str]) -> np.ndarray:
     """64-bit hashes that are equal on every machine."""
-    return pd.util.hash_array(np.array(words, dtype=object), categorize=False) if len(words) else np.zeros(0, np.uint64)
+    return pd.util.hash_array(np.array(words, dtype=object), categorize=True) if len(words) else np.zeros(0, np.uint64)
 
 
 def word_distance(a: list, b: list, most: int) -> int:
