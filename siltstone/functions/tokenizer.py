@@ -8,14 +8,14 @@ from functools import lru_cache
 import pandas as pd
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Fixed value: the public pattern that texts are cut by before this vocabulary's merges.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 @lru_cache(2)
-def encoding(path: str = TOKENIZER, pattern: str | None = None):
+def encoding(path: str = TOKENIZER, pattern: str = PATTERN):
     import tiktoken
 
-    if pattern is None:
-        from public_tokenizers import PATTERN as pattern
     ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, open(path, "rb"))}
     return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 

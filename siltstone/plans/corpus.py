@@ -68,7 +68,8 @@ def weighted_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     The greedy merge has a closed form: row k of a source with quota q comes at k / q, ties in order of the sources.
     """
     targets = table(spark, sf_dir, "blend_targets").select("source", "requested_rows").filter("requested_rows > 0")
-    rows = table(spark, sf_dir, "split_rows").filter(F.col("split") == "train").select("row_id", "source").join(F.broadcast(targets), "source")
+    training = F.lower(F.trim("split")).isin("train", "pretrain")  # a corpus may call its training split either
+    rows = table(spark, sf_dir, "split_rows").filter(training).select("row_id", "source").join(targets, "source")
     kept = positions(rows, ["row_id"], ["source"]).filter(F.col("position") <= F.col("requested_rows"))
     due = kept.select("source", "row_id", ((F.col("position") - 1) / F.col("requested_rows")).alias("due"))
     return positions(due, ["due", "source", "row_id"]).select("source", "row_id", "position")
@@ -136,7 +137,7 @@ ORACLES = {
     "head_split": "WITH r AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT doc_id, CASE WHEN k <= greatest(1, floor(n * 0.02)) THEN 'val' ELSE 'train' END AS split FROM r",
     "every_nth_split": "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM documents WHERE length(text) >= 200) SELECT doc_id, CASE WHEN k % 50 = 0 THEN 'val' ELSE 'train' END AS split FROM r",
     "token_budget": f"WITH n AS (SELECT doc_id, {_NORM.format(c='text')} AS t FROM documents), k AS (SELECT doc_id, CAST({_TOKENS.format(t='t')} AS BIGINT) AS tokens FROM n), r AS (SELECT *, CAST(sum(tokens) OVER (ORDER BY doc_id) AS BIGINT) AS running_tokens FROM k) SELECT * FROM r WHERE running_tokens - tokens < (SELECT floor(sum(tokens) / 2) FROM k)",
-    "weighted_interleave": "WITH r AS (SELECT s.source, row_id, requested_rows AS q, row_number() OVER (PARTITION BY s.source ORDER BY row_id) AS k FROM split_rows s JOIN blend_targets t ON s.source = t.source WHERE split = 'train' AND requested_rows > 0) SELECT source, row_id, row_number() OVER (ORDER BY CAST(k - 1 AS DOUBLE) / q, source, row_id) AS position FROM r WHERE k <= q",
+    "weighted_interleave": "WITH r AS (SELECT s.source, row_id, requested_rows AS q, row_number() OVER (PARTITION BY s.source ORDER BY row_id) AS k FROM split_rows s JOIN blend_targets t ON s.source = t.source WHERE lower(trim(split)) IN ('train', 'pretrain') AND requested_rows > 0) SELECT source, row_id, row_number() OVER (ORDER BY CAST(k - 1 AS DOUBLE) / q, source, row_id) AS position FROM r WHERE k <= q",
     "row_quota": "WITH t AS (SELECT source, CAST(floor((SELECT sum(requested_rows) FROM blend_targets WHERE weight > 0) * weight / (SELECT sum(weight) FROM blend_targets WHERE weight > 0) + 1e-9) AS BIGINT) AS q FROM blend_targets WHERE weight > 0) SELECT source, CAST(q + CASE WHEN source = (SELECT min(source) FROM t) THEN (SELECT sum(requested_rows) FROM blend_targets WHERE weight > 0) - (SELECT sum(q) FROM t) ELSE 0 END AS BIGINT) AS quota FROM t",
     "keyword_filter": f"SELECT doc_id, source FROM documents WHERE regexp_matches(lower(text), '{'|'.join(KEYWORDS)}')",
     "truncate_sentence": rf"WITH n AS (SELECT doc_id, {_NORM.format(c='text')} AS t FROM documents), h AS (SELECT doc_id, t, substr(t, 1, 2000) AS head FROM n), s AS (SELECT *, CASE WHEN contains(head, '.') THEN length(head) - instr(reverse(head), '.') + 1 ELSE 0 END AS stop FROM h), c AS (SELECT doc_id, CASE WHEN length(t) <= 2000 THEN t WHEN stop - 1 > 500 THEN substr(head, 1, stop) ELSE head END AS cut FROM s) SELECT doc_id, length(cut) AS n_chars, md5(cut) AS cut_md5 FROM c WHERE length(cut) >= 100",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -32,11 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, named by spark.checkpoint.dir.
 
-    Where the session names none (tests, a laptop) a new temporary folder is made and set, which is right only because
-    driver and executors are then one machine.
+    Where a local session names none (tests, a laptop) a new temporary folder is made and set: driver and executors are then
+    one process. On a cluster executors would write to their own disks and rows be lost, so there the setting must be given.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
