@@ -23,10 +23,13 @@ def test_positions_with_a_hot_key_and_nulls(spark):
     assert positions(df.withColumn("position", F.lit("x")), ["v", "k"]).schema["position"].dataType.simpleString() == "bigint"
 
 
-@pytest.mark.parametrize("cosine", [True, False])
-def test_top_k_equals_brute_force(spark, cosine, monkeypatch):
+@pytest.mark.parametrize("cosine,numbers,ties", [(True, 10**6, "low"), (False, 10**6, "high"), (True, 0, "low"), (False, 0, "high")])
+def test_top_k_equals_brute_force(spark, cosine, numbers, ties, monkeypatch):
+    """With queries sent to the tasks, and with so many that they stay a table."""
     from siltstone.operators import search
 
+    monkeypatch.setattr(search, "QUERY_NUMBERS", numbers)
+
     monkeypatch.setattr(search, "QUERY_BLOCK", 3)
     monkeypatch.setattr(search, "DATA_BLOCK", 20)
     rng = np.random.default_rng(0)
@@ -35,14 +38,15 @@ def test_top_k_equals_brute_force(spark, cosine, monkeypatch):
     x[20] = x[10]
     rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(500, None), (501, [1.0])]
     df = spark.createDataFrame(rows, "id long, vector array<double>")
-    got = vector_top_k(df, df.filter("id % 10 = 0"), 3, 4, cosine).toPandas()
+    got = vector_top_k(df, df.filter("id % 10 = 0"), 3, 4, cosine, ties).toPandas()
     norm = np.linalg.norm(x, axis=1)
     for q in range(0, 100, 10):
         s = x @ x[q]
         if cosine:
             s = np.where(norm > 0, s / np.where(norm > 0, norm, 1), 0) / norm[q]
-        best = sorted(range(100), key=lambda i: (-round(s[i], 9), i))[:3]
+        best = sorted(range(100), key=lambda i: (-round(s[i], 9), i if ties == "low" else -i))[:3]
         assert got[got.query_id == q].sort_values("rank")["id"].tolist() == best
+    assert vector_top_k(df, df.limit(0), 3, 4, cosine, ties).count() == 0 == vector_top_k(df.limit(0), df.filter("id < 5"), 3, 4, cosine, ties).count()
 
 
 def test_fixed_chunks_rebuild_the_text(spark):
