@@ -16,33 +16,35 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "prepare_openorca").select("row_id", words(F.col("response")).alias("h"), words(F.col("question")).alias("r")).filter("size(h) > 0 and size(r) > 0")
 
 
-def _grams(rows: DataFrame, column: str, n: int) -> DataFrame:
-    """Counts of the n-grams of each row."""
-    at = rows.filter(F.size(column) >= n).select("row_id", column, F.explode(F.sequence(F.lit(1), F.size(column) - n + 1)).alias("i"))
-    return at.select("row_id", F.array_join(F.slice(column, F.col("i"), n), " ").alias("gram")).groupBy("row_id", "gram").agg(F.count(F.lit(1)).alias(f"n_{column}"))
+def _common_grams(rows: DataFrame, orders: range) -> DataFrame:
+    """(row_id, nh, nr, m1, ...): words on either side, and the n-grams of each order that both sides hold, by their counts.
+
+    Texts are shuffled once by row; n-grams are counted and met within a row's partition.
+    """
+    def grams(column: str, n: int):
+        at = F.when(F.size(column) >= n, F.sequence(F.lit(1), F.size(column) - n + 1))
+        return F.transform(F.coalesce(at, F.array().cast("array<int>")), lambda i: F.struct(F.lit(n).alias("order"), F.array_join(F.slice(column, i, n), " ").alias("gram"), F.lit(column).alias("side")))
+
+    placed = rows.repartition("row_id")
+    exploded = placed.select("row_id", F.size("h").alias("nh"), F.size("r").alias("nr"), F.explode(F.flatten(F.array(*[grams(c, n) for c in ("h", "r") for n in orders]))).alias("g"))
+    counted = exploded.groupBy("row_id", "nh", "nr", "g.order", "g.gram").agg(F.count_if(F.col("g.side") == "h").alias("in_h"), F.count_if(F.col("g.side") == "r").alias("in_r"))
+    return counted.groupBy("row_id", "nh", "nr").agg(*[F.sum(F.when(F.col("order") == n, F.least("in_h", "in_r")).otherwise(0)).alias(f"m{n}") for n in orders])
 
 
 def rouge1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision, recall and F1 of a response's words against its question's."""
-    rows = _pairs(spark, sf_dir)
-    common = _grams(rows, "h", 1).join(_grams(rows, "r", 1), ["row_id", "gram"]).groupBy("row_id").agg(F.sum(F.least("n_h", "n_r")).alias("common"))
-    scored = rows.select("row_id", F.size("h").alias("nh"), F.size("r").alias("nr")).join(common, "row_id", "left").withColumn("c", F.coalesce("common", F.lit(0)))
-    p, r = F.col("c") / F.col("nh"), F.col("c") / F.col("nr")
+    scored = _common_grams(_pairs(spark, sf_dir), range(1, 2))
+    p, r = F.col("m1") / F.col("nh"), F.col("m1") / F.col("nr")
     return scored.select("row_id", F.round(p, 4).alias("p"), F.round(r, 4).alias("r"), F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 4).alias("f1"))
 
 
 def bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BLEU-4 of a response against its question: clipped precisions, brevity penalty, zero if a precision is zero."""
-    rows = _pairs(spark, sf_dir)
-    scored = rows.select("row_id", F.size("h").alias("nh"), F.size("r").alias("nr"))
-    for n in range(1, GRAMS + 1):
-        hits = _grams(rows, "h", n).join(_grams(rows, "r", n), ["row_id", "gram"]).groupBy("row_id").agg(F.sum(F.least("n_h", "n_r")).alias(f"m{n}"))
-        scored = scored.join(hits, "row_id", "left")
-    shares = [F.coalesce(F.col(f"m{n}"), F.lit(0)) / F.greatest(F.col("nh") - n + 1, F.lit(1)) for n in range(1, GRAMS + 1)]
-    least = F.least(*shares)
+    scored = _common_grams(_pairs(spark, sf_dir), range(1, GRAMS + 1))
+    shares = [F.col(f"m{n}") / F.greatest(F.col("nh") - n + 1, F.lit(1)) for n in range(1, GRAMS + 1)]
     logs = sum((F.log(s) for s in shares[1:]), F.log(shares[0])) / GRAMS
     brevity = F.when(F.col("nh") >= F.col("nr"), 1.0).otherwise(F.exp(1 - F.col("nr") / F.col("nh")))
-    return scored.select("row_id", F.round(F.when(least > 0, brevity * F.exp(logs)).otherwise(0.0), 4).alias("bleu"))
+    return scored.select("row_id", F.round(F.when(F.least(*shares) > 0, brevity * F.exp(logs)).otherwise(0.0), 4).alias("bleu"))
 
 
 def low_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import BLANKS, normalize, pieces, strip
-from ..functions.tokenizer import decode, encode
+from ..functions.tokenizer import PATTERN, decode, encode
+from ..operators.lexical import small_enough
 from ..operators.ranking import positions
-from ..operators.search import vector_top_k
-from ..session import table
-from .retrieval import TEXT_DIM, hashed_embedding, phrase_search
+from ..session import stage, table
+from .retrieval import ORACLES as SEARCHES
+from .retrieval import dense_search, phrase_search
 
 LENGTH = 64
 BATCH = 32
@@ -25,17 +28,22 @@ RULES = (("table", r"\|.*\|"), ("hex", r"^[0-9a-f]{8} "), ("list", r"^(- |\* |\[
 
 
 def bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of each document under a public tokenizer, and whether decoding gives the text back."""
+    """Tokens of each document under a public tokenizer, and whether decoding gives the text back.
 
-    def tokens_of(texts: pd.Series) -> pd.Series:
-        return encode(texts)
+    Texts are cut into pieces that no merge crosses; every distinct piece is encoded once, however often it occurs, and the
+    documents' totals are summed over their pieces.
+    """
 
-    def text_of(tokens: pd.Series) -> pd.Series:
-        return decode(tokens)
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            tokens = encode(pdf["piece"])
+            yield pd.DataFrame({"piece": pdf["piece"], "tokens": tokens.map(len), "same": decode(tokens) == pdf["piece"]})
 
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.pandas_udf(tokens_of, "array<int>")("text").alias("tokens"))
-    same = F.pandas_udf(text_of, "string")("tokens") == F.coalesce("text", F.lit(""))
-    return rows.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(PATTERN), F.lit(0)).alias("pieces"))
+    used = stage(texts.select("doc_id", F.explode("pieces").alias("piece")).groupBy("doc_id", "piece").agg(F.count(F.lit(1)).alias("n")), "pieces")
+    known = small_enough(stage(used.select("piece").distinct().mapInPandas(counted, "piece string, tokens int, same boolean"), "tokens"))
+    sums = used.join(known, "piece").groupBy("doc_id").agg(F.sum(F.col("n") * F.col("tokens")).alias("n_tokens"), F.min("same").alias("round_trip"))
+    return texts.select("doc_id").join(sums, "doc_id", "left").select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce("round_trip", F.lit(True)).alias("round_trip"))
 
 
 def instruct_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,10 +142,7 @@ def right_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best of the dense and the lexical results of every item, by raw score; a document may come twice."""
-    embed = F.pandas_udf(hashed_embedding, "array<float>")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), embed("text").alias("vector"))
-    items = table(spark, sf_dir, "eval_items").select(F.col("item_id").alias("id"), embed("text").alias("vector"))
-    dense = vector_top_k(docs, items, 3, TEXT_DIM).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.lit("dense").alias("branch"))
+    dense = dense_search(spark, sf_dir).select("item_id", "doc_id", "score", F.lit("dense").alias("branch"))
     both = dense.unionByName(phrase_search(spark, sf_dir).select("item_id", "doc_id", "score", F.lit("lexical").alias("branch")))
     best = Window.partitionBy("item_id").orderBy(F.col("score").desc(), "branch", "doc_id")  # six rows an item
     return both.withColumn("rank", F.row_number().over(best).cast("long")).filter("rank <= 3")
@@ -150,6 +155,7 @@ _SHUFFLED = "SELECT doc_id, row_number() OVER (ORDER BY md5(concat_ws(':', '{see
 _CASES = " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in RULES)
 
 ORACLES = {
+    "hybrid_search": f"WITH b AS (SELECT item_id, doc_id, score, 'dense' AS branch FROM ({SEARCHES['dense_search']}) UNION ALL SELECT item_id, doc_id, score, 'lexical' AS branch FROM ({SEARCHES['phrase_search']})), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, branch, doc_id) AS rank FROM b) SELECT item_id, doc_id, score, branch, rank FROM r WHERE rank <= 3",
     "instruct_pack": f"WITH p AS (SELECT row_id, {_PIECES.format(c='question')} AS q, {_PIECES.format(c='response')} AS a FROM prepare_openorca), k AS (SELECT *, least(len(q), 32) AS k FROM p WHERE len(q) > 0 AND len(a) > 0), s AS (SELECT row_id, k, q[len(q) - k + 1 : len(q)] || a[1 : 64 - k] || ['<eos>'] AS seq FROM k) SELECT row_id, md5(array_to_string(seq[1 : len(seq) - 1] || list_resize(CAST([] AS VARCHAR[]), 65 - len(seq), '<pad>'), chr(31))) AS input_md5, md5(array_to_string(list_resize(CAST([] AS VARCHAR[]), k - 1, '<mask>') || seq[k + 1 : len(seq)] || list_resize(CAST([] AS VARCHAR[]), 65 - len(seq), '<mask>'), chr(31))) AS target_md5 FROM s",
     "seeded_batches": f"WITH r AS ({_SHUFFLED.format(seed=7)}) SELECT doc_id, (k - 1) // {BATCH} AS batch FROM r WHERE k <= (SELECT count(*) FROM documents) // {BATCH} * {BATCH}",
     "random_holdout": f"WITH r AS ({_SHUFFLED.format(seed=11)}) SELECT doc_id, CASE WHEN k <= least(greatest(CAST(floor((SELECT count(*) FROM documents) * {HELD}) AS BIGINT), 1), (SELECT count(*) FROM documents) - 1) THEN 'val' ELSE 'train' END AS split FROM r",
