@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("corpus", "chunks", "retrieval", "packs", "metrics", "store", "streams", "measurements")
+MODULES = ("corpus", "chunks", "retrieval", "packs", "metrics", "store", "streams", "measurements", "knowledge")
 
 
 def _all(attribute: str) -> dict:

@@ -21,15 +21,21 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, per_trigger: int |
     return reader.parquet(path)
 
 
-def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
+def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", kind: str = "parquet") -> None:
     """Process what is there and stop; a second run with the same checkpoint takes up where the first one ended."""
-    query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+    query = stream.writeStream.format(kind).option("path", out).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def distinct_chunks(chunks: DataFrame) -> DataFrame:
-    """At-least-once delivery made exactly-once by key."""
-    return chunks.dropDuplicates(["chunk_id"])
+def distinct_chunks(chunks: DataFrame, seen_at: str | None = None, lateness: str = "7 days") -> DataFrame:
+    """At-least-once delivery made exactly-once by key.
+
+    Without a time column every key ever seen is kept as state, which grows with the stream; with one, a key is forgotten
+    when the watermark has passed it, and copies must come within `lateness`.
+    """
+    if seen_at is None:
+        return chunks.dropDuplicates(["chunk_id"])
+    return chunks.withWatermark(seen_at, lateness).dropDuplicatesWithinWatermark(["chunk_id"])
 
 
 def hourly_events(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
