@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 CHUNK_SCHEMA = "doc_id long, chunk_no long, char_start long, char_end long, chunk string"
 _SENTENCE = re.compile(r"[.!?][ \t\n\r\f\v]+")
 
@@ -85,3 +87,10 @@ def sentence_chunks(documents: DataFrame, size: int = 400, overlap: int = 80) ->
 def knowledge_chunks(documents: DataFrame, size: int = 1536, overlap: int = 192) -> DataFrame:
     clean = F.trim(F.regexp_replace("text", r"\s+", " "))
     return documents.select("doc_id", clean.alias("text")).filter(F.length("text") > 0).mapInPandas(_spans(knowledge_spans, size, overlap), CHUNK_SCHEMA)
+
+
+def chunks_by(documents: DataFrame, strategy: str = "sentence", size: int = 400, overlap: int = 80) -> DataFrame:
+    """Chunks of the texts without the white space around them, by sentence or of fixed size; blank texts have none."""
+    if strategy not in ("sentence", "fixed"):
+        raise ValueError(f"no strategy {strategy!r}")
+    return (sentence_chunks if strategy == "sentence" else fixed_chunks)(documents.select("doc_id", strip(F.col("text")).alias("text")), size, overlap)

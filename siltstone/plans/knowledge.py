@@ -126,7 +126,20 @@ def conversation_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("conversation_id").agg(F.left(F.min_by("content", "id"), F.lit(60)).alias("title"))
 
 
-QUERIES = {f.__name__: f for f in (source_templates, technical_rows, document_chunks, ingestion_totals, citation_blocks, context_prompts, index_rebuild, shard_search, running_best, conversation_titles)}
+def row_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Work rows as `column: value | ...` texts, those of fifty characters or more."""
+    columns = ("source", "system", "question", "response")
+    rows = table(spark, sf_dir, "prepare_openorca").select("row_id", F.lit("prepare_openorca").alias("source"), "system", "question", "response")
+    part = [F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{c}: "), F.col(c))) for c in columns]
+    return rows.select("row_id", F.concat_ws(" | ", *part).alias("t")).filter(F.length("t") >= 50).select("row_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("text_md5"))
+
+
+def stripped_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed chunks of the documents without the white space around them."""
+    return chunking.chunks_by(table(spark, sf_dir, "documents"), "fixed").select("doc_id", "chunk_no", "char_start", "char_end", F.md5("chunk").alias("chunk_md5"))
+
+
+QUERIES = {f.__name__: f for f in (row_documents, stripped_chunks, source_templates, technical_rows, document_chunks, ingestion_totals, citation_blocks, context_prompts, index_rebuild, shard_search, running_best, conversation_titles)}
 
 _NORM = r"trim(regexp_replace(coalesce({c}, ''), '[\s\pZ]+', ' ', 'g'))"
 _CUT = "CASE WHEN length({t}) <= 2000 THEN {t} WHEN contains(substr({t}, 1, 2000), '.') AND 2000 - instr(reverse(substr({t}, 1, 2000)), '.') > 500 THEN substr({t}, 1, 2001 - instr(reverse(substr({t}, 1, 2000)), '.')) ELSE substr({t}, 1, 2000) END"
@@ -135,6 +148,8 @@ _LONG = f"length({_NORM.format(c='text')}) >= {LEAST_DOCUMENT}"
 _BEST = f"b AS ({SEARCHES['phrase_search']})"
 
 ORACLES = {
+    "row_documents": "WITH r AS (SELECT row_id, concat_ws(' | ', 'source: prepare_openorca', CASE WHEN system <> '' THEN 'system: ' || system END, CASE WHEN question <> '' THEN 'question: ' || question END, CASE WHEN response <> '' THEN 'response: ' || response END) AS t FROM prepare_openorca) SELECT row_id, length(t) AS n_chars, md5(t) AS text_md5 FROM r WHERE length(t) >= 50",
+    "stripped_chunks": r"WITH d AS (SELECT doc_id, regexp_replace(text, '^[\s\x0B\x1C-\x1F\x{85}\pZ]+|[\s\x0B\x1C-\x1F\x{85}\pZ]+$', '', 'g') AS t FROM documents), s AS (SELECT doc_id, t, unnest(range(0, length(t), 320)) AS st FROM d WHERE length(t) > 0) SELECT doc_id, st // 320 AS chunk_no, st AS char_start, st + length(substr(t, st + 1, 400)) AS char_end, md5(substr(t, st + 1, 400)) AS chunk_md5 FROM s",
     "source_templates": f"""WITH r AS (SELECT row_id, {_NORM.format(c='system')} AS s, {_NORM.format(c='question')} AS q, {_NORM.format(c='response')} AS a, coalesce(system, '') = '' AS none, regexp_extract(question, '{TAG}') AS tag, regexp_extract(question, '{OPENING}') AS op FROM prepare_openorca),
         d AS (SELECT doc_id, {_NORM.format(c='text')} AS t FROM documents),
         x AS (SELECT 'chat' AS kind, row_id AS key, concat_ws(' ', CASE WHEN s <> '' THEN '<|system|> ' || s END, CASE WHEN q <> '' THEN '<|user|> ' || q END) || ' <|assistant|> ' || a AS text FROM r WHERE (s <> '' OR q <> '') AND a <> ''

@@ -28,6 +28,16 @@ def write_metadata(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.json(path)
 
 
+def write_subset(df: DataFrame, columns: list[str], path: str) -> None:
+    """Some columns as Parquet; a folder that is already there is left as it is."""
+    df.select(*columns).write.mode("ignore").parquet(path)
+
+
+def append_rows(df: DataFrame, path: str) -> None:
+    """Rows added to a table's folder, all of them or none."""
+    df.write.mode("append").parquet(path)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of old and new by key; a key's row in new wins. Within one side the rows of a key must be equal."""
     both = old.withColumn("_batch", F.lit(0)).unionByName(new.withColumn("_batch", F.lit(1)))

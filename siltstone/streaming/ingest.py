@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +23,26 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, per_trigger: int |
     return reader.parquet(path)
 
 
-def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", kind: str = "parquet") -> None:
-    """Process what is there and stop; a second run with the same checkpoint takes up where the first one ended."""
+def check_config(spark: SparkSession, path: str, config: dict) -> None:
+    wanted = json.dumps(config, sort_keys=True)
+    try:
+        held = [r["value"] for r in spark.read.text(path).collect()]  # one line
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        spark.createDataFrame([(wanted,)], "value string").coalesce(1).write.text(path)
+        return
+    if held != [wanted]:
+        raise ValueError(f"the run to resume has the config {held}, not {wanted}")
+
+
+def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", kind: str = "parquet", config: dict | None = None) -> None:
+    """Process what is there and stop; a second run with the same checkpoint takes up where the first one ended.
+
+    A config is kept beside the checkpoint, and a run that would go on under another one is an error.
+    """
+    if config is not None:
+        check_config(stream.sparkSession, f"{checkpoint}-config", config)
     query = stream.writeStream.format(kind).option("path", out).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
 

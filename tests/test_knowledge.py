@@ -2,9 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import templates
+from siltstone.operators.chunking import chunks_by
 from siltstone.operators.lexical import rare_first_matches
 from siltstone.operators.ranking import positions
-from siltstone.sources import index
+from siltstone.sources import index, writers
 from siltstone.streaming import ingest
 
 
@@ -63,3 +64,27 @@ def test_a_stream_forgets_old_keys(spark, tmp_path):
     stream = spark.readStream.schema("chunk_id string, at string").json(str(tmp_path / "in")).withColumn("at", F.col("at").cast("timestamp"))
     ingest.run_available(ingest.distinct_chunks(stream, "at", "1 hour"), str(tmp_path / "out"), str(tmp_path / "c"))
     assert sorted(r.chunk_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_a_resumed_run_keeps_its_config(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    spark.createDataFrame([("a",)], "chunk_id string").write.mode("append").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema("chunk_id string").json(str(tmp_path / "in"))
+    for _ in range(2):
+        ingest.run_available(stream, str(tmp_path / "out"), str(tmp_path / "c"), config={"chunk_tokens": 384})
+    with pytest.raises(ValueError):
+        ingest.run_available(stream, str(tmp_path / "out"), str(tmp_path / "c"), config={"chunk_tokens": 100})
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_writers_and_strategies(spark, tmp_path):
+    df = spark.createDataFrame([(1, "  one. two  ", "x"), (2, " \n ", "y"), (3, None, "z")], "doc_id long, text string, other string")
+    for _ in range(2):
+        writers.write_subset(df, ["doc_id", "other"], str(tmp_path / "s"))
+        writers.append_rows(df, str(tmp_path / "a"))
+    assert spark.read.parquet(str(tmp_path / "s")).columns == ["doc_id", "other"] and spark.read.parquet(str(tmp_path / "s")).count() == 3
+    assert spark.read.parquet(str(tmp_path / "a")).count() == 6
+    for strategy in ("sentence", "fixed"):
+        assert [r.chunk for r in chunks_by(df, strategy).filter("chunk_no = 0").collect()] == ["one. two"]
+    with pytest.raises(ValueError):
+        chunks_by(df, "other")
