@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from siltstone.llm.conversations import conversation_defects, conversations, least_offsets, ordered_messages
+from siltstone.llm.conversations import conversation_defects, conversations, least_offsets, ordered_messages, sender_offsets
 
 SCHEMA = "id long, conversation_id string, role string, content string, created_at string, metadata string, at long, turns int"
 
@@ -54,10 +54,26 @@ def test_clock_offsets():
 def test_offsets_put_replies_after_what_they_answer(spark):
     rows = [(1, "c", "user", "q1", at(10), None), (2, "c", "assistant", "a1", at(5), '{"reply_to": 1}'), (3, "c", "user", "q2", at(20), None), (4, "c", "assistant", "a2", at(16), '{"reply_to": 3}')]
     assert found(spark, rows) == {"c": None}
+    turns = conversations(frame(spark, rows)).toPandas().sort_values("turn")
+    assert turns.content.tolist() == ["q1", "a1", "q2", "a2"] and turns.corrected.is_monotonic_increasing and not turns.instant.is_monotonic_increasing
+    assert {(r.role, r.offset_s) for r in sender_offsets(frame(spark, rows)).collect()} == {("user", -150.0), ("assistant", 150.0)}
     clash = rows + [(5, "c", "user", "q3", at(3), '{"reply_to": 2}')]
     assert found(spark, clash) == {"c": "broken"}
 
 
+def test_latencies_move_clocks_but_not_turns(spark):
+    second = lambda s: f"2026-01-01 10:00:{s:02d}"
+    rows = [(1, "c", "user", "q1", second(0), '{"latency_ms": 9000}'), (2, "c", "assistant", "a1", second(2), '{"latency_ms": 5000}'), (3, "c", "user", "q2", second(30), None), (4, "c", "assistant", "a2", second(40), '{"latency_ms": 4000}')]
+    rows += [(11, "wrong", "user", "q1", second(0), None), (12, "wrong", "assistant", "a1", second(2), '{"latency_ms": 50000}'), (13, "wrong", "user", "q2", second(3), None), (14, "wrong", "assistant", "a2", second(40), "{}")]
+    assert found(spark, rows) == {"c": None, "wrong": None}
+    assert {(r.conversation_id, r.role, round(r.offset_s, 6)) for r in sender_offsets(frame(spark, rows)).collect()} == {("c", "user", -1.5), ("c", "assistant", 1.5)}
+    turns = conversations(frame(spark, rows)).toPandas()
+    for c in ("c", "wrong"):
+        assert turns[turns.conversation_id == c].sort_values("turn").content.tolist() == ["q1", "a1", "q2", "a2"]
+    hot = [(i, "hot", "user" if i % 2 == 0 else "assistant", f"t{i}", f"2026-01-{1 + i // 1440:02d} {i // 60 % 24:02d}:{i % 60:02d}:00", '{"latency_ms": 61000}') for i in range(600)]
+    assert {(r.role, round(r.offset_s, 6)) for r in sender_offsets(frame(spark, hot)).collect()} == {("user", -0.5), ("assistant", 0.5)}
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None, None, None, None)]])
 def test_small_tables(spark, rows):
-    assert found(spark, rows) == {} and conversations(frame(spark, rows)).count() == 0
+    assert found(spark, rows) == {} and conversations(frame(spark, rows)).count() == 0 and sender_offsets(frame(spark, rows)).count() == 0
