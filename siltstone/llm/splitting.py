@@ -10,13 +10,16 @@ offsets that are null, zero for a later chunk, or counted in bytes are derived f
 text overlaps by `overlap` characters; where no neighbour is known either, the offsets of the pieces are null.
 
 Defined results: null and blank texts give no piece; a text within the limit is one piece; surrounding blanks, tabs and line
-breaks belong to no piece; rows delivered twice (same chunk_id) are one chunk; characters are Unicode code points.
+breaks belong to no piece; rows delivered twice (same chunk_id) are one chunk, rows with a null chunk_id none; characters are
+Unicode code points.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from math import sqrt
 
 import numpy as np
 import pandas as pd
@@ -36,22 +39,24 @@ _EDGE = re.compile(r"[^\w\s.,]|_")
 
 
 def cohesion_depths(text: str, boundaries: list[int]) -> np.ndarray:
-    """Depth of the valley at each boundary: how far the similarity of the blocks around it lies below the peaks beside."""
+    """Depth of the valley at each boundary: how far the similarity of the blocks around it lies below the peaks beside it.
+
+    The peak on either side is found by climbing from the boundary as long as the similarity does not fall.
+    """
     words = [(m.start(), m[0].lower()) for m in _WORD.finditer(text)]
-    if not boundaries:
-        return np.zeros(0)
-    number: dict[str, int] = {}
-    ids = np.array([number.setdefault(w, len(number)) for _, w in words], dtype=int)
     at = np.searchsorted([p for p, _ in words], boundaries)
-    similarity = np.zeros(len(boundaries))
-    for i, k in enumerate(at):
-        left = np.bincount(ids[max(0, k - BLOCK_WORDS) : k], minlength=len(number))
-        right = np.bincount(ids[k : k + BLOCK_WORDS], minlength=len(number))
-        norm = np.sqrt(float(left @ left) * float(right @ right))
-        similarity[i] = left @ right / norm if norm else 0.0
-    before = np.maximum.accumulate(similarity)
-    after = np.maximum.accumulate(similarity[::-1])[::-1]
-    return (before - similarity) + (after - similarity)
+    similarity = []
+    for k in at.tolist():
+        left, right = (Counter(w for _, w in block) for block in (words[max(0, k - BLOCK_WORDS) : k], words[k : k + BLOCK_WORDS]))
+        norm = sqrt(sum(n * n for n in left.values()) * sum(n * n for n in right.values()))
+        similarity.append(sum(n * right[w] for w, n in left.items()) / norm if norm else 0.0)
+    peaks = []
+    for row in (similarity, similarity[::-1]):
+        climbed = []
+        for i, x in enumerate(row):
+            climbed.append(climbed[-1] if i and row[i - 1] >= x else x)
+        peaks.append(climbed)
+    return np.array(peaks[0]) + np.array(peaks[1][::-1]) - 2 * np.array(similarity)
 
 
 def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
@@ -72,15 +77,15 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
         most = start + limit
         end = most
         for least in (start + limit // 2, start + overlap + 1):
-            inside = np.flatnonzero((strong_at >= least) & (strong_at <= most))
-            if len(inside):
-                end = int(strong_at[inside[np.argmax(depth[inside])]])
+            lo, hi = np.searchsorted(strong_at, (least, most + 1))
+            if lo < hi:
+                end = int(strong_at[lo + np.argmax(depth[lo:hi])])
                 break
         else:
             for ends in weaker:
-                inside = ends[(ends >= start + limit // 2) & (ends <= most)]
-                if len(inside):
-                    end = int(inside[-1])
+                last = int(np.searchsorted(ends, most + 1)) - 1
+                if last >= 0 and ends[last] >= start + limit // 2:
+                    end = int(ends[last])
                     break
         pieces.append((start, end))
         start = end - overlap
