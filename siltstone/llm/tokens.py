@@ -1,9 +1,9 @@
 """Tokens of texts under a public tokenizer: exact counts, and estimates by regression for token budgets.
 
-The budget tokenizes only a bounded sample of at most SAMPLE texts of each language, picked by hash. Half of it fits one
-least-squares regression for each language from bytes, words, digits, punctuation and scripts to tokens; the other half is held
-out and gives the factor that corrects the regression's bias. The regression is applied to every text; languages with no
-sample use the regression of all languages together.
+The budget tokenizes only a bounded sample of about SAMPLE texts of each language, picked by hash. Half of it fits one
+least-squares regression for each language from bytes, words, digits, punctuation and scripts to tokens; a quarter is held out
+and gives the factor that corrects the regression's bias; the last quarter had a part in neither, and gives the error that is
+reported. The regression is applied to every text; languages with no sample use the regression of all languages together.
 
 Defined results: null and empty texts have zero tokens; a null source or domain is a slice of its own. The language is the one
 that the whole text's Han characters and function words tell clearly; a stated code stays where they tell nothing clear. Where
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from ..functions.tokenizer import TOKENIZER, encoding
 from ..session import stage
-from .defects import _WORD, FUNCTION_WORDS
+from .defects import FUNCTION_WORDS
 from .quality import COMMA, DIGIT, HAN, LOWER, MARK, NEWLINE, SPACE, STOP, SYMBOL, TAB, UPPER, classes
+from .text import runs_of
 
 LANGUAGES = ("en", "de", "fr", "es", "zh")
 SAMPLE = 2000
@@ -48,7 +49,7 @@ def clean_language(c: Column) -> Column:
 
 def told_language(lang: str | None, text: str) -> str:
     """The language that the whole text tells, else the stated one; two Han characters count as one function word."""
-    words = _WORD.findall(text.lower())
+    words = runs_of(text.lower())
     han = len(_HAN.findall(text))
     votes = [((han + 1) // 2, "zh"), *((sum(map(known.__contains__, words)), code) for code, known in FUNCTION_WORDS.items())]
     (n, code), (m, _) = sorted(votes, reverse=True)[:2]
@@ -91,20 +92,20 @@ def _tokenized(path: str):
 
 
 def fit(sample: pd.DataFrame) -> dict[str, tuple[np.ndarray, float, float]]:
-    """For each language ('*': all) its coefficients, the bias factor and the held-out error of the total."""
+    """For each language ('*': all) its coefficients, the bias factor and the median error on texts that neither has seen."""
     found = {}
     for lang, part in [("*", sample), *sample.groupby("lang")]:
-        train, held = part[part["half"] == 0], part[part["half"] == 1]
-        if len(train) < 3 * len(FEATURES) or not len(held):
+        train, held, unseen = part[part["quarter"] < 2], part[part["quarter"] == 2], part[part["quarter"] == 3]
+        if len(train) < 3 * len(FEATURES) or not len(held) or not len(unseen):
             continue
         x, y = train[list(FEATURES)].to_numpy(float), train["tokens"].to_numpy(float)
         scale = np.maximum(x.std(0), 1.0)
         a = np.vstack([x / scale, np.sqrt(RIDGE * len(x)) * np.eye(len(FEATURES))])
         coefficients = np.linalg.lstsq(a, np.concatenate([y, np.zeros(len(FEATURES))]), rcond=None)[0] / scale
-        guess = np.maximum(held[list(FEATURES)].to_numpy(float) @ coefficients, 0)
-        truth = held["tokens"].to_numpy(float)
-        factor = truth.sum() / guess.sum() if guess.sum() else 1.0
-        error = float(np.median(np.abs(guess * factor - truth) / np.maximum(truth, 1)))
+        guess = [np.maximum(p[list(FEATURES)].to_numpy(float) @ coefficients, 0) for p in (held, unseen)]
+        factor = held["tokens"].sum() / guess[0].sum() if guess[0].sum() else 1.0
+        truth = unseen["tokens"].to_numpy(float)
+        error = float(np.median(np.abs(guess[1] * factor - truth) / np.maximum(truth, 1)))
         found[lang] = (coefficients, factor, error)
     return found
 
@@ -127,9 +128,10 @@ def estimated_tokens(documents: DataFrame, chunks: DataFrame, path: str = TOKENI
     rate = F.lit(0.0)
     for lang, n in counts.items():
         rate = F.when(F.col("lang") == lang, SAMPLE / n).otherwise(rate)
-    picked = rows.filter(share < rate).limit(2 * SAMPLE * (len(LANGUAGES) + 1))
-    picked = stage(picked.withColumn("half", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(2)).cast("int")), "sample")
-    tokenized = texts.join(F.broadcast(picked.select("corpus", "key")), ["corpus", "key"], "left_semi").select("corpus", "key", "text").mapInPandas(_tokenized(path), "corpus string, key string, tokens long")
+    name = F.xxhash64("corpus", "key")
+    picked = stage(rows.filter(share < rate).withColumn("quarter", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(4)).cast("int")), "sample")
+    chosen = F.broadcast(picked.select(name.alias("name")))  # about SAMPLE rows a language
+    tokenized = texts.join(chosen, name == F.col("name"), "left_semi").select("corpus", "key", "text").mapInPandas(_tokenized(path), "corpus string, key string, tokens long")
     model = fit(picked.join(tokenized, ["corpus", "key"]).drop("source", "domain").orderBy("corpus", "key").toPandas())
     tokens = F.col("bytes") / 4.0
     for lang, (coefficients, factor, _) in model.items():
