@@ -2,7 +2,8 @@
 
 `document_statistics` counts words, symbols and lines, a batch of whole texts at once over arrays of code points. A Gaussian
 mixture is fitted to the standardised statistics of all documents by expectation-maximization: every step is one pass over
-the staged statistics, and only sums of the model's own size reach the driver. Components start at the inspected examples of
+the staged statistics, and only sums of the model's own size reach the driver. Steps end when the mean log likelihood of a
+document rises by less than TOLERANCE, or after STEPS. Components start at the inspected examples of
 `examples.py`, and after the last step each takes the kind of the examples it answers for. A document's kind is the one with
 the greatest posterior over all components.
 
@@ -26,7 +27,8 @@ from ..session import stage
 from .examples import EXAMPLES
 
 KINDS = ("prose", "list", "table", "junk")
-STEPS = 10
+STEPS = 40
+TOLERANCE = 0.02
 RIDGE = 0.02
 PRIOR = 50.0
 BATCH = 100
@@ -189,28 +191,41 @@ def _start(x: np.ndarray, shapes: list[str]) -> tuple[np.ndarray, np.ndarray, np
     return np.full(len(names), 1 / len(names)), means, np.stack([np.eye(x.shape[1]) * 0.5] * len(names))
 
 
-def posteriors(x: np.ndarray, weights: np.ndarray, means: np.ndarray, covariances: np.ndarray) -> np.ndarray:
+def log_densities(x: np.ndarray, weights: np.ndarray, means: np.ndarray, covariances: np.ndarray) -> np.ndarray:
+    """Log of each component's weight times its density, but for a constant."""
     logs = np.empty((len(x), len(weights)))
     for k, (w, m, c) in enumerate(zip(weights, means, covariances)):
         root = np.linalg.cholesky(c)
         z = np.linalg.solve(root, (x - m).T)
         logs[:, k] = np.log(w) - np.log(np.diag(root)).sum() - 0.5 * (z * z).sum(0)
-    logs -= logs.max(1, keepdims=True)
-    p = np.exp(logs)
-    return p / p.sum(1, keepdims=True)
+    return logs
+
+
+def posteriors(x: np.ndarray, *model: np.ndarray) -> np.ndarray:
+    return _shares(log_densities(x, *model))[0]
+
+
+def _shares(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Posteriors, and the log likelihood of each row."""
+    top = logs.max(1, keepdims=True)
+    p = np.exp(logs - top)
+    total = p.sum(1, keepdims=True)
+    return p / total, (top + np.log(total))[:, 0]
 
 
 def _sums(model: tuple, mean: np.ndarray, scale: np.ndarray):
-    """For each component the sums of an expectation step over one partition."""
+    """For each component the sums of an expectation step over one partition; as component -1 the log likelihood."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
+        total, likelihood = None, 0.0
         for pdf in batches:
             x = _standard(pdf, mean, scale)
-            p = posteriors(x, *model)
+            p, logs = _shares(log_densities(x, *model))
+            likelihood += logs.sum()
             part = np.concatenate([p.sum(0)[:, None], p.T @ x, np.einsum("nk,ni,nj->kij", p, x, x, optimize=True).reshape(p.shape[1], -1)], axis=1)
             total = part if total is None else total + part
         if total is not None:
+            yield pd.DataFrame({"component": [-1], "at": [0], "value": [likelihood]})
             for k, row in enumerate(total):
                 yield pd.DataFrame({"component": k, "at": np.arange(len(row)), "value": row})
 
@@ -222,7 +237,8 @@ def _improved(rows: list, shape: tuple[int, int], start: np.ndarray) -> tuple[np
     k, d = shape
     total = np.zeros((k, 1 + d + d * d))
     for r in rows:
-        total[r["component"], r["at"]] = r["value"]
+        if r["component"] >= 0:
+            total[r["component"], r["at"]] = r["value"]
     n = total[:, 0]
     means = (total[:, 1 : 1 + d] + PRIOR * start) / (n + PRIOR)[:, None]
     second = total[:, 1 + d :].reshape(k, d, d)
@@ -232,19 +248,29 @@ def _improved(rows: list, shape: tuple[int, int], start: np.ndarray) -> tuple[np
     return (n + 1) / (n + 1).sum(), means, covariances
 
 
-def document_kinds(documents: DataFrame) -> DataFrame:
-    """The statistics of each document, with its kind and the posterior of that kind."""
-    stats = stage(document_statistics(documents), "statistics")
-    moments = stats.filter("n_lines > 0").agg(*[F.avg(c).alias(f"m_{c}") for c in STATS], *[F.stddev_pop(c).alias(f"s_{c}") for c in STATS]).first()
+def fit_mixture(stats: DataFrame) -> tuple[tuple, np.ndarray, np.ndarray, list[float]]:
+    """The fitted model, the mean and scale that statistics are standardised by, and the mean log likelihood at each step."""
+    seen = stats.filter("n_lines > 0")
+    moments = seen.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in STATS], *[F.stddev_pop(c).alias(f"s_{c}") for c in STATS]).first()
     mean = np.array([moments[f"m_{c}"] or 0.0 for c in STATS])
     scale = np.array([max(moments[f"s_{c}"] or 0.0, 0.05) for c in STATS])
-    examples = batch_statistics([text for _, _, text in EXAMPLES])
-    x, kinds = _standard(examples, mean, scale), np.array([KINDS.index(kind) for kind, _, _ in EXAMPLES])
-    model = _start(x, [f"{kind} {shape}" for kind, shape, _ in EXAMPLES])
+    x = _standard(batch_statistics([text for _, _, text in EXAMPLES]), mean, scale)
+    model, history = _start(x, [f"{kind} {shape}" for kind, shape, _ in EXAMPLES]), []
     start = model[1]
     for _ in range(STEPS):
-        sums = stats.filter("n_lines > 0").mapInPandas(_sums(model, mean, scale), "component int, at int, value double")
-        model = _improved(sums.groupBy("component", "at").agg(F.sum("value").alias("value")).collect(), start.shape, start)
+        rows = seen.mapInPandas(_sums(model, mean, scale), "component int, at int, value double").groupBy("component", "at").agg(F.sum("value").alias("value")).collect()
+        history.append(sum(r["value"] for r in rows if r["component"] < 0) / max(1, moments["n"]))
+        if len(history) > 1 and history[-1] - history[-2] < TOLERANCE:
+            break
+        model = _improved(rows, start.shape, start)
+    return model, mean, scale, history
+
+
+def document_kinds(documents: DataFrame) -> DataFrame:
+    """The statistics of each document, with its kind and the posterior of that kind."""
+    stats = stage(document_statistics(documents), "statistics")
+    model, mean, scale, _ = fit_mixture(stats)
+    x, kinds = _standard(batch_statistics([text for _, _, text in EXAMPLES]), mean, scale), np.array([KINDS.index(kind) for kind, _, _ in EXAMPLES])
     p = posteriors(x, *model)
     votes = np.stack([p[kinds == k].sum(0) for k in range(len(KINDS))])
     kind_of = votes.argmax(0)
