@@ -195,9 +195,9 @@ def log_densities(x: np.ndarray, weights: np.ndarray, means: np.ndarray, covaria
     """Log of each component's weight times its density, but for a constant."""
     logs = np.empty((len(x), len(weights)))
     for k, (w, m, c) in enumerate(zip(weights, means, covariances)):
-        root = np.linalg.cholesky(c)
-        z = np.linalg.solve(root, (x - m).T)
-        logs[:, k] = np.log(w) - np.log(np.diag(root)).sum() - 0.5 * (z * z).sum(0)
+        root = np.linalg.inv(np.linalg.cholesky(c))
+        z = (x - m) @ root.T
+        logs[:, k] = np.log(w) + np.log(np.diag(root)).sum() - 0.5 * np.einsum("ij,ij->i", z, z)
     return logs
 
 
@@ -222,7 +222,8 @@ def _sums(model: tuple, mean: np.ndarray, scale: np.ndarray):
             x = _standard(pdf, mean, scale)
             p, logs = _shares(log_densities(x, *model))
             likelihood += logs.sum()
-            part = np.concatenate([p.sum(0)[:, None], p.T @ x, np.einsum("nk,ni,nj->kij", p, x, x, optimize=True).reshape(p.shape[1], -1)], axis=1)
+            squares = np.stack([((x * q[:, None]).T @ x).ravel() for q in p.T])
+            part = np.concatenate([p.sum(0)[:, None], p.T @ x, squares], axis=1)
             total = part if total is None else total + part
         if total is not None:
             yield pd.DataFrame({"component": [-1], "at": [0], "value": [likelihood]})
@@ -257,6 +258,7 @@ def fit_mixture(stats: DataFrame) -> tuple[tuple, np.ndarray, np.ndarray, list[f
     x = _standard(batch_statistics([text for _, _, text in EXAMPLES]), mean, scale)
     model, history = _start(x, [f"{kind} {shape}" for kind, shape, _ in EXAMPLES]), []
     start = model[1]
+    seen = seen.select(*STATS)
     for _ in range(STEPS):
         rows = seen.mapInPandas(_sums(model, mean, scale), "component int, at int, value double").groupBy("component", "at").agg(F.sum("value").alias("value")).collect()
         history.append(sum(r["value"] for r in rows if r["component"] < 0) / max(1, moments["n"]))
