@@ -5,6 +5,8 @@ rows for each query; a window over these partial results gives the final ranks.
 at most QUERY_NUMBERS numbers. A larger query set stays a table of blocks of QUERY_BLOCK vectors; data rows are then gathered
 into blocks too, and both meet in a join on (query block, slice of the data), so no key holds more than a slice.
 
+Scores are rounded to DECIMALS, so that equal vectors tie whatever block they are multiplied in.
+
 Defined results: null vectors, and vectors of another dimension than `dim`, are skipped; a zero vector has cosine 0 to all;
 ties go to the lower id, or to the higher with `ties="high"`.
 """
@@ -22,6 +24,7 @@ QUERY_NUMBERS = 4_000_000
 QUERY_BLOCK = 256
 DATA_BLOCK = 2048
 SLICES = 16
+DECIMALS = 10
 
 
 def _matrix(vectors) -> np.ndarray:
@@ -43,7 +46,7 @@ def _scores(q: np.ndarray, x: np.ndarray, cosine: bool) -> np.ndarray:
     if cosine:
         norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
         scores = np.where(norms > 0, scores / np.where(norms > 0, norms, 1), 0.0)
-    return scores
+    return np.round(scores, DECIMALS)
 
 
 def _rows(names: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pd.DataFrame:

@@ -163,7 +163,7 @@ ORACLES = {
     "citation_blocks": f"WITH {_BEST} SELECT item_id, chr(10) || '**Sources:**' || chr(10) || string_agg('  [' || rank || '] ' || coalesce(documents.source, '') || printf(' (relevance: %.2f)', round(b.score, 2)), chr(10) ORDER BY rank) AS block FROM b JOIN documents USING (doc_id) GROUP BY item_id",
     "context_prompts": f"WITH {_BEST}, s AS (SELECT item_id, rank, '[' || coalesce(d.source, '') || ']: ' || coalesce(d.text, '') AS snippet FROM b JOIN documents d USING (doc_id)), t AS (SELECT *, sum(length(snippet)) OVER (PARTITION BY item_id ORDER BY rank) AS total FROM s), c AS (SELECT item_id, count(*) AS n, string_agg(snippet, chr(10) ORDER BY rank) AS context FROM t WHERE total <= {CONTEXT_CHARS} GROUP BY item_id) SELECT i.item_id, coalesce(n, 0) AS documents, md5('Context:' || chr(10) || coalesce(context, '') || chr(10) || chr(10) || 'Question: ' || coalesce(text, '') || chr(10) || 'Answer from the context only:') AS prompt_md5 FROM eval_items i LEFT JOIN c USING (item_id)",
     "index_rebuild": "WITH c AS (SELECT chunk_id, min({'source': source, 'text': text}) AS r FROM text_chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id) SELECT chunk_id, r.source AS source, md5(r.text) AS text_md5, 2 AS dim, CAST(len(regexp_extract_all(r.text, '[a-z]+')) AS DOUBLE) AS first FROM c",
-    "shard_search": f"WITH e AS (SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM embeddings), p AS (SELECT q.vec_id AS query_id, e.*, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS s FROM embeddings q, e WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, k DESC) AS rank FROM p) SELECT query_id, rank, vec_id, CAST(label AS BIGINT) AS label, k // {SHARD_ROWS} AS shard, k % {SHARD_ROWS} AS row FROM r WHERE rank <= 3",
+    "shard_search": f"WITH e AS (SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM embeddings), p AS (SELECT q.vec_id AS query_id, e.*, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS s FROM embeddings q, e WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 10) DESC, k DESC) AS rank FROM p) SELECT query_id, rank, vec_id, CAST(label AS BIGINT) AS label, k // {SHARD_ROWS} AS shard, k % {SHARD_ROWS} AS row FROM r WHERE rank <= 3",
     "running_best": "WITH r AS (SELECT event_type, event_id, value, min(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM events WHERE value IS NOT NULL) SELECT event_type, event_id, value FROM r WHERE best IS NULL OR value < best",
     "conversation_titles": f"WITH r AS (SELECT conversation_id, id, {_NORM.format(c='content')} AS t FROM messages WHERE conversation_id IS NOT NULL AND lower(trim(role)) IN ('user', 'human')) SELECT conversation_id, left(arg_min(t, id), 60) AS title FROM r WHERE t <> '' GROUP BY conversation_id",
 }

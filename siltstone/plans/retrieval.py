@@ -232,7 +232,7 @@ _PASSAGE = _SINGULAR.replace("{v}", _RUNS)
 _PAIRS = "SELECT q.vec_id AS query_id, e.vec_id AS id, e.label, q.label AS query_label, {score} AS s FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND len(e.embedding) = 64 AND len(q.embedding) = 64"
 _COSINE = "list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))"
 _DOT = "list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))"
-_TOP = "row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id)"
+_TOP = "row_number() OVER (PARTITION BY query_id ORDER BY round(s, 10) DESC, id)"
 _REPLY = f"WITH r AS (SELECT row_id, {_QUESTION.format(c='question')} AS q, trim(regexp_replace(coalesce(response, ''), '[\\s\\pZ]+', ' ', 'g')) AS t FROM prepare_openorca), a AS (SELECT row_id, t, list_min(list_filter([instr(lower(t), w) - 1 for w in q], lambda p: p >= 0)) AS pos FROM r WHERE t <> '') SELECT row_id, CASE WHEN pos IS NULL THEN substr(t, 1, 420) ELSE CASE WHEN pos > 150 THEN '…' ELSE '' END || substr(t, greatest(0, pos - 150) + 1, 560) || CASE WHEN length(t) > greatest(0, pos - 150) + 560 THEN '…' ELSE '' END END AS reply FROM a"
 
 #: Document frequencies f, and a text's hashed weights: {t} of table {s} with key {k}.
@@ -240,7 +240,7 @@ _FITTED = f"d AS (SELECT doc_id AS id, {_WORDS.format(c='text')} AS w FROM docum
 _HASHED = "{t} AS (SELECT id, bucket, sum(v) AS v FROM (SELECT id, CAST(('0x' || substr(md5(term), 1, 8)) AS BIGINT) % 128 AS bucket, count(*) / any_value(total) * coalesce(any_value(idf), 1.0) AS v FROM (SELECT {k} AS id, len({w}) AS total, unnest({w}) AS term FROM {s}) x LEFT JOIN f USING (term) GROUP BY id, term) GROUP BY id, bucket), {t}n AS (SELECT id, bucket, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS v FROM {t})"
 _DOCS_HASHED = _HASHED.format(t="hd", k="id", w="w", s="d")
 _ITEMS_HASHED = _HASHED.format(t="hi", k="item_id", w=_WORDS.format(c="text"), s="eval_items")
-_NEAREST = "s AS (SELECT q.id AS query_id, e.id, sum(q.v * e.v) AS s FROM {q} q JOIN hdn e ON q.bucket = e.bucket GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM s)"
+_NEAREST = "s AS (SELECT q.id AS query_id, e.id, sum(q.v * e.v) AS s FROM {q} q JOIN hdn e ON q.bucket = e.bucket GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 10) DESC, id) AS rank FROM s)"
 _DENSE = f"WITH {_FITTED}, {_DOCS_HASHED}, {_ITEMS_HASHED}, {_NEAREST.format(q='hin')}"
 
 ORACLES = {
@@ -248,7 +248,7 @@ ORACLES = {
     "text_top_k": f"WITH {_FITTED}, {_DOCS_HASHED}, {_NEAREST.format(q='(SELECT * FROM hdn WHERE id % 100 = 0)')} SELECT query_id, id, rank, round(s, 6) AS score FROM r WHERE rank <= 5",
     "dense_search": f"{_DENSE} SELECT query_id AS item_id, id AS doc_id, rank, round(s, 6) AS score FROM r WHERE rank <= 3",
     "evidence_policy": f"{_DENSE} SELECT query_id AS item_id, r.id AS doc_id, rank, round(s, 6) AS score FROM r JOIN eval_items i ON i.item_id = query_id JOIN documents x ON x.doc_id = r.id WHERE rank <= 2 AND round(s, 6) >= 0.2 AND (len({_QUESTION.format(c='i.text')}) = 0 OR list_has_any({_QUESTION.format(c='i.text')}, {_PASSAGE.format(c='x.text')}))",
-    "vector_payload": f"WITH p AS ({_PAIRS.format(score=_DOT)}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id DESC) AS rank FROM p) SELECT query_id, rank, id, CAST(label AS BIGINT) AS label FROM r WHERE rank <= 5",
+    "vector_payload": f"WITH p AS ({_PAIRS.format(score=_DOT)}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 10) DESC, id DESC) AS rank FROM p) SELECT query_id, rank, id, CAST(label AS BIGINT) AS label FROM r WHERE rank <= 5",
     "tfidf_df": f"WITH d AS (SELECT unnest(list_distinct({_WORDS.format(c='text')})) AS term FROM documents) SELECT term, count(*) AS df, round(ln((SELECT count(*) FROM documents) / (count(*) + 1)), 6) AS idf FROM d GROUP BY term",
     "tfidf_weights": f"WITH d AS (SELECT doc_id, {_WORDS.format(c='text')} AS w FROM documents), x AS (SELECT doc_id, len(w) AS total, unnest(w) AS term FROM d), c AS (SELECT doc_id, term, count(*) AS n, any_value(total) AS total FROM x GROUP BY doc_id, term), f AS (SELECT term, count(*) AS df FROM c GROUP BY term) SELECT doc_id, c.term, round(n / total * ln((SELECT count(*) FROM documents) / (df + 1)), 6) AS weight FROM c JOIN f ON c.term = f.term",
     "vector_topk_cosine": f"WITH p AS ({_PAIRS.format(score=_COSINE)}), r AS (SELECT *, {_TOP} AS rank FROM p) SELECT query_id, id, rank, round(s, 5) AS score FROM r WHERE rank <= 5",

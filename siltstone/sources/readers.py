@@ -8,14 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import strip
+
 #: Column names that hold text, the best first.
 TEXT_COLUMNS = ("text", "content", "body", "description", "message", "question", "answer")
+#: Line breaks besides those that the text source itself knows.
+BREAKS = r"[\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 HEAD_BYTES = 50 * 1024 * 1024
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, line): stripped lines that are not empty."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "").alias("line"))
+    """(file, line): stripped lines that are not empty; all that Python takes for a line break ends a line."""
+    parts = F.explode(F.split("value", BREAKS)).alias("value")
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), parts).select("file", strip(F.col("value")).alias("line"))
     return rows.filter("line != ''")
 
 

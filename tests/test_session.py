@@ -1,6 +1,6 @@
 import pytest
 
-from siltstone.session import shared_dir
+from siltstone.session import clear_staged, shared_dir, stage
 
 
 class Cluster:
@@ -23,3 +23,12 @@ def test_a_cluster_must_name_its_shared_folder(monkeypatch):
 
 def test_a_local_session_gets_one(spark):
     assert shared_dir(spark) == shared_dir(spark)
+
+
+def test_staged_tables_can_be_cleared(spark):
+    clear_staged(spark)
+    df = stage(spark.range(10).toDF("n"), "numbers")
+    folder = df.inputFiles()[0].rsplit("/", 1)[0]
+    assert df.count() == 10 and clear_staged(spark) == 1 and clear_staged(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.schema("n long").parquet(folder).collect()
