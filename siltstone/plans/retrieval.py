@@ -42,55 +42,57 @@ def _bucket(term: str) -> Column:
 
 def _weights(rows: DataFrame, fitted: DataFrame) -> DataFrame:
     """(id, bucket, value) of texts (id, w: words): share of the text's words times idf, 1 for a term that `fitted` (term, idf)
-    has not; summed in hashed buckets, of length one."""
+    has not; summed in hashed buckets."""
     counts = rows.select("id", F.size("w").alias("total"), F.explode("w").alias("term")).groupBy("id", "total", "term").agg(F.count(F.lit(1)).alias("n"))
     value = F.sum(F.col("n") / F.col("total") * F.coalesce("idf", F.lit(1.0))).alias("value")
-    summed = counts.join(fitted, "term", "left").groupBy("id", _bucket("term").alias("bucket")).agg(value)
-    lengths = summed.groupBy("id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("length"))
-    return summed.join(lengths, "id").select("id", "bucket", F.when(F.col("length") > 0, F.col("value") / F.col("length")).otherwise(0.0).alias("value"))
+    return counts.join(fitted, "term", "left").groupBy("id", _bucket("term").alias("bucket")).agg(value)
 
 
 def _dense(buckets: pd.Series, values: pd.Series) -> pd.Series:
+    """Vectors of length one; a text whose weights are all zero keeps zeros."""
     out = np.zeros((len(buckets), TEXT_DIM))
     for row, b, v in zip(out, buckets, values):
         row[np.asarray(b, dtype=int)] = v
-    return pd.Series(list(out))
+    lengths = np.linalg.norm(out, axis=1, keepdims=True)
+    return pd.Series(list(out / np.where(lengths > 0, lengths, 1)))
 
 
-def text_vectors(documents: DataFrame, asked: DataFrame | None = None) -> DataFrame:
-    """(id, vector) of `asked` (id, w), or of the documents themselves, weighted by the documents' frequencies.
-
-    Hot terms meet no join key: the fitted terms are broadcast where there are few enough. Empty texts have no vector.
-    """
-    documents = documents.filter("size(w) > 0")
-    n = documents.count()
+def fitted_terms(documents: DataFrame) -> DataFrame:
+    """(term, idf) of texts (id, w: words), to be broadcast where there are few enough: hot terms then meet no join key."""
+    n = documents.filter("size(w) > 0").count()
     df = documents.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    fitted = small_enough(stage(df.select("term", F.log(F.lit(float(n)) / (F.col("df") + 1)).alias("idf")), "idf"))
-    sparse = _weights(documents if asked is None else asked.filter("size(w) > 0"), fitted)
-    packed = sparse.groupBy("id").agg(F.collect_list(F.struct("bucket", "value")).alias("v"))  # at most TEXT_DIM a text
+    return small_enough(stage(df.select("term", F.log(F.lit(float(n)) / (F.col("df") + 1)).alias("idf")), "idf"))
+
+
+def text_vectors(texts: DataFrame, fitted: DataFrame) -> DataFrame:
+    """(id, vector) of texts (id, w), weighted by the fitted frequencies. Empty texts have no vector."""
+    placed = texts.filter("size(w) > 0").repartition("id")  # shuffled once; all that follows stays within a text's partition
+    packed = _weights(placed, fitted).groupBy("id").agg(F.collect_list(F.struct("bucket", "value")).alias("v"))  # at most TEXT_DIM a text
     return packed.select("id", F.pandas_udf(_dense, "array<double>")("v.bucket", "v.value").alias("vector"))
 
 
 def _worded(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    return table(spark, sf_dir, name).select(F.col(key).alias("id"), words(F.col("text")).alias("w"))
+    return stage(table(spark, sf_dir, name).select(F.col(key).alias("id"), words(F.col("text")).alias("w")), "words")
 
 
 def tfidf_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items' hashed vectors under the documents' term frequencies; terms of no document weigh as one."""
-    vectors = text_vectors(_worded(spark, sf_dir, "documents", "doc_id"), _worded(spark, sf_dir, "eval_items", "item_id"))
+    vectors = text_vectors(_worded(spark, sf_dir, "eval_items", "item_id"), fitted_terms(_worded(spark, sf_dir, "documents", "doc_id")))
     return vectors.select(F.col("id").alias("item_id"), F.posexplode("vector").alias("bucket", "value")).filter("value != 0").select("item_id", F.col("bucket").cast("long").alias("bucket"), F.round("value", 6).alias("value"))
 
 
 def text_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every hundredth document against all documents, by cosine of hashed term weights."""
-    vectors = stage(text_vectors(_worded(spark, sf_dir, "documents", "doc_id")), "vectors")
+    docs = _worded(spark, sf_dir, "documents", "doc_id")
+    vectors = stage(text_vectors(docs, fitted_terms(docs)), "vectors")
     return vector_top_k(vectors, vectors.filter("id % 100 = 0"), TOP, TEXT_DIM).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
 def dense_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three documents nearest to every item, by cosine of hashed term weights fitted to the documents."""
     docs = _worded(spark, sf_dir, "documents", "doc_id")
-    found = vector_top_k(text_vectors(docs), text_vectors(docs, _worded(spark, sf_dir, "eval_items", "item_id")), 3, TEXT_DIM)
+    fitted = fitted_terms(docs)
+    found = vector_top_k(text_vectors(docs, fitted), text_vectors(_worded(spark, sf_dir, "eval_items", "item_id"), fitted), 3, TEXT_DIM)
     return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
 
 
